@@ -1,7 +1,8 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-Each stretch of STRETCH bytes of a text is compressed with both dictionaries. The normalised difference of the sizes is
-the evidence, which a logistic fit on other labelled documents, weighted to the true share of labels, turns into a
+Each stretch of STRETCH bytes of a text is compressed with both dictionaries. The normalised difference of the sizes, and
+how far the lesser size falls under that of usual text (words over and over compress with either), are the evidence,
+which a logistic fit on other labelled documents, weighted to the true share of labels, turns into a
 probability that the label is 1. One half of the bounded training sample builds dictionaries, the other half calibrates.
 
 Defined cases: null and empty text score the share of label 1; a label other than 0 and 1, or null, teaches nothing;
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: The training sample holds at most SAMPLE documents of each label, those with the least hashes, and SAMPLE_CHARS in all of them.
-SAMPLE, SAMPLE_CHARS, STRETCH, DICTIONARY, LEVEL = 1000, 8_000_000, 4096, 1 << 16, 1
+SAMPLE, SAMPLE_CHARS, STRETCH, DICTIONARY, LEVEL = 1000, 8_000_000, 512, 1 << 15, 3
 
 
 def stretches(data: bytes, size: int = STRETCH) -> list[bytes]:
@@ -44,14 +45,16 @@ class CompressionScore:
     def __getstate__(self):
         return {**self.__dict__, "_tools": None}
 
-    def evidence(self, text: str | None) -> float:
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """Normalised difference of the two sizes, and how far the lesser falls under half of the text's size."""
         if self._tools is None:
             kind = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in self.dictionaries]
             for k in kind:
                 k.precompute_compress(level=LEVEL)
-            self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=k, write_checksum=False, write_content_size=False) for k in kind]
-        good, bad = (sum(len(tool.compress(s)) for s in stretches(C.text_bytes(text))) for tool in self._tools)
-        return (bad - good) / (bad + good) if bad + good else 0.0
+            self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=k, write_checksum=False, write_content_size=False, write_dict_id=False) for k in kind]
+        data = C.text_bytes(text)
+        good, bad = (sum(len(tool.compress(s)) for s in stretches(data)) for tool in self._tools)
+        return ((bad - good) / (bad + good), max(0.0, 0.5 - min(good, bad) / len(data))) if data else (0.0, 0.0)
 
     def calibrate(self, texts: list[str | None], labels: list[int], share: float) -> None:
         """Logistic fit of the label on the evidence, by Newton steps with a little shrinkage; weights restore `share`."""
@@ -60,20 +63,20 @@ class CompressionScore:
         if not 0 < y.sum() < len(y):
             return
         x = np.array([self.evidence(t) for t in texts])
-        centre, scale = x.mean(), x.std() or 1.0
-        z = np.stack([np.ones_like(x), (x - centre) / scale], 1)
+        centre, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        z = np.concatenate([np.ones((len(x), 1)), (x - centre) / scale], 1)
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        b = np.zeros(2)
+        shrink, b = np.array([1e-6, 0.5, 0.5]), np.zeros(3)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            step = z.T @ (weight * (y - p)) - 0.5 * np.array([0, b[1]])
-            b = b + np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-6, 0.5]), step)
-        self.line = (float(b[0] - b[1] * centre / scale), float(b[1] / scale))
+            step = z.T @ (weight * (y - p)) - shrink * b
+            b = b + np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(shrink), step)
+        self.line = (float(b[0] - (b[1:] * centre / scale).sum()), *(b[1:] / scale).tolist())
 
     def score(self, text: str | None) -> float:
         if not text or self.line is None:
             return self.share
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.line[0] + self.line[1] * self.evidence(text)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w * e for w, e in zip(self.line, (1.0, *self.evidence(text)), strict=True))))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionScore:

@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two order-2 character models are trained from labelled samples: strings drawn from the alphabets of keys, with the
-values that the patterns find in a bounded sample of documents (label secret), and the other long identifiers and words
-of that sample (label ordinary). A token of LEAST characters or more whose mean log-likelihood ratio a character is over
-a margin is a further span, kind `model`; margin: above all but RARE of the ordinary training tokens, 0 at least.
+values that the patterns find in a bounded sample of the documents' tokens (label secret), and the sample's identifiers
+and words of letters, signs and at most a short number behind (label ordinary). A token of LEAST characters or more whose mean log-likelihood ratio a character is over
+a margin is a further span, kind `model`; margin: that of all but RARE of the ordinary training tokens, but no more than
+a twentieth of the secret ones lie under, and 0 at least.
 
 Defined cases: null text is empty; no span gives counts of 0 and the digest of an empty string; spans of different
 kinds may overlap; a model span never overlaps a pattern's; a table with nothing to train from leaves the built-in
@@ -29,6 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What is sampled, and what of it is labelled ordinary: letters and signs, then a short number at most.
+SAMPLE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+PLAIN = re.compile(r"[A-Za-z+/_=-]+[0-9]{0,4}")
 KINDS = ("assign", "access", "hex")
 
 #: Bounds of the training sample and of the model.
@@ -58,8 +62,9 @@ class MarkovRatio:
 
     def __init__(self, secret: list[str], ordinary: list[str]):
         self.table = (self._model(secret) - self._model(ordinary)).ravel()
-        scores = sorted(self.score(t) for t in ordinary)
-        self.margin = max(0.0, scores[min(len(scores) - 1, int(len(scores) * (1 - RARE)))]) if scores else 0.0
+        scores, wanted = sorted(map(self.score, ordinary)), sorted(map(self.score, secret))
+        usual = scores[min(len(scores) - 1, int(len(scores) * (1 - RARE)))] if scores else 0.0
+        self.margin = max(0.0, min(usual, wanted[len(wanted) // 20]) if wanted else usual)  # unlabelled secrets may pass for ordinary
 
     @staticmethod
     def _model(tokens: list[str]) -> np.ndarray:
@@ -98,9 +103,10 @@ def _label(texts: list[str | None]) -> list[list[list[dict]]]:
     out = []
     for text in texts:
         base, found = base_spans(text or ""), []
-        for m in TOKEN.finditer(text or ""):
+        for m in SAMPLE.finditer(text or ""):
             hit = any(a < m.end() and m.start() < z for a, z, _ in base)
-            found.append({"token": m[0][:64], "secret": hit})
+            if hit or PLAIN.fullmatch(m[0]):  # else of unknown label
+                found.append({"token": m[0][:64], "secret": hit})
         out.append(found)
     return [out]
 

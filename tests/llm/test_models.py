@@ -1,0 +1,86 @@
+"""Held-out accuracy of the classifiers, the queries and the pipeline."""
+
+import zlib
+
+import corpus_pipeline
+import pytest
+
+from pulseweave.llm import language, quality, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_quality_held_out(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    found = queries.op4_quality(spark, SF).collect()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
+    assert sum(p == y for p, y in held) >= 0.93 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found)
+
+
+def test_language_held_out(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op5_language_id(spark, SF).collect()
+    assert len(found) == len(langs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    assert sum(r["ambiguous"] for r in found) < 0.01 * len(found)
+
+
+def test_edges(spark, docs, empty):
+    model = language.train(docs)
+    found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    assert [found[k]["lang_pred"] for k in (100000, 100001, 100002, 100005)] == ["und"] * 4 and found[100000]["score"] == 0
+    assert found[100003]["lang_pred"] in model.langs
+    assert language.identify(empty, language.train(empty)).count() == 0
+    assert language.train(empty).predict("words") == ("und", 0.0, False)
+    none = quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["score"] for r in quality.score_quality(docs, none).collect()} == {0.5}
+    some = quality.train(docs, spark.createDataFrame([(100003, 1), (100005, 0), (100003, None), (None, 1), (5, 3)], "doc_id long, quality int"))
+    assert quality.score_quality(docs, some).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 7, 30])
+def test_codewords(n):
+    words = language.codewords(n)
+    assert len({tuple(w) for w in words}) == n
+    assert min((a != b).sum() for i, a in enumerate(words) for b in words[:i]) >= words.shape[1] // 4
+
+
+def test_pipeline(spark):
+    """Each stage against its input: what goes, what stays and what changes."""
+    from test_exact import brute_components, tiktoken_encoding
+
+    from pulseweave.llm import decontaminate
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [decontaminate.normal_words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.collect()]
+        docs = stage(spark, docs, sf)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        after = [tuple(r) for r in docs.collect()]
+        if i < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "language_id":
+            assert {r[0] for r in after} == {r[0] for r in before if any(map(str.isalpha, r[1] or ""))}
+        elif name == "near_dedup":
+            kept = {d for d, _, _, k in brute_components([r[:2] for r in before], 5, 80) if k}
+            assert {r[0] for r in after} == kept and len(after) < len(before)
+        elif name == "decontaminate":
+            bad = {r[0] for r in before if any(decontaminate.edit_place(x, decontaminate.normal_words(r[1]))[0] <= int(0.2 * len(x) + 1e-9) for x in items)}
+            assert bad and {r[0] for r in after} == {r[0] for r in before} - bad
+        elif name == "secret_scan":
+            assert {r[0] for r in after} == {r[0] for r in before} and all(r[4] == len(r[1]) for r in after)
+        else:
+            own = tiktoken_encoding()
+            assert {r[0]: r[1] for r in after} == {r[0]: len(own.encode_ordinary(r[1])) for r in before}
+    assert corpus_pipeline.run(spark, sf).count() == len(after)
+
+
+def test_query_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
