@@ -1,4 +1,4 @@
-"""Connected components of a links table, by alternating large and small stars on written tables."""
+"""Connected components of a links table: least labels spread over links, with jumps to the label's own label."""
 
 from __future__ import annotations
 
@@ -8,36 +8,36 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(links: DataFrame, large: bool, tables: Scratch) -> DataFrame:
-    """Hangs each node's larger (large) or smaller (small) neighbours on the least of node and neighbours.
-
-    The minimum is a map-side aggregate and the join back is a plain sort-merge join of written tables, so a node with
-    very many neighbours is split.
-    """
-    if large:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = tables.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    hung = both.join(least, "u")
-    out = hung.where("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        out = out.union(least.where("u <> m").select("u", F.col("m").alias("v")))
-    out = tables.save(out.where("u <> v").distinct())
-    tables.drop(least)
-    return out
+def jumped(parts: DataFrame, tables: Scratch) -> DataFrame:
+    """(u, v): nodes with a smaller parent v, moved up to the root by doubling; parts has one row a node."""
+    while True:
+        up = parts.join(parts.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left")
+        new = tables.save(up.select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
+        tables.drop(parts)
+        if new.where("moved").isEmpty():
+            return new.select("u", "v")
+        parts = new.select("u", "v")
+        parts._scratch_path = new._scratch_path
 
 
 def connected(links: DataFrame, tables: Scratch) -> DataFrame:
-    """(u, v): every node that has a link and is not its component's least node, with that node."""
-    now = tables.save(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
+    """(u, v): every node of the links with the least node of its component.
+
+    A round takes each node's least label among itself and its neighbours (a map-side minimum over a plain sort-merge
+    join of written tables, so a node with very many neighbours is split), then that label's own label. It ends when
+    no label has changed.
+    """
+    both = tables.save(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    labels = tables.save(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")))
     while True:
-        wide = _star(now, True, tables)
-        slim = _star(wide, False, tables)
-        tables.drop(now, wide)
-        now = slim
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == mark:
-            return now
-        mark = new
+        known = labels.select(F.col("u").alias("v"), F.col("v").alias("label"))
+        seen = both.join(known, "v").select("u", "label").union(labels.select("u", F.col("v").alias("label")))
+        least = seen.groupBy("u").agg(F.min("label").alias("v"), F.max("label").alias("most"))
+        least = least.join(known.select("v", F.col("label").alias("up")), "v").select("u", F.col("up").alias("v"), (F.col("most") > F.col("up")).alias("open"))
+        new = tables.save(least)
+        tables.drop(labels)
+        if new.where("open").isEmpty():  # every neighbour had the same label
+            tables.drop(both)
+            return new.select("u", "v")
+        labels = new.select("u", "v")
+        labels._scratch_path = new._scratch_path

@@ -6,9 +6,11 @@ at most one difference (pigeonhole), so keying every chunk once for each value l
 thresholds used here a linked pair lies beyond that distance, and has two differences or more in every chunk, with a
 probability below 1e-6. Links are confirmed on the full sets of shingles.
 
-Equal sets are folded into one node first. Buckets are never expanded into pairs: each round compares a bucket's
-members with the bucket's least untried node, confirms those pairs, updates the components and retires that node; a
-bucket whose members all share a component is done. Every pair of a bucket is thus confirmed or already connected.
+Equal sets are folded into one node first. Buckets are never expanded into pairs: every node is first confirmed against
+the one bucket minimum that it shares most keys with, which links most of a group. Nodes that can meet at all (linked by
+shared keys) form a candidate group; where a group still has several components, its nodes outside the largest one are
+compared with the group's nodes in blocks of BLOCK, a task holding two blocks, and only links that join two components
+are emitted. Every pair that shares a key is thus confirmed or already connected.
 
 Defined cases: null, empty or blank text has no shingles and links to nothing; fewer words than `size` make one shingle;
 a null doc_id has a null component and is kept; repeated rows share one result each; an empty table gives an empty
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected
+from .components import connected, jumped
 
-HASHES, CHUNKS, BITS = 32, 8, 32
+HASHES, CHUNKS, BITS, BLOCK = 32, 8, 32, 256
 _SEEDS = C.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(C.ODD)) | np.uint64(1)
 
 
@@ -92,6 +94,60 @@ def _confirm(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+def _links(rows: list[dict], size: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of linked components of two blocks, enough to join them; open nodes are compared with all nodes at once, on full sets."""
+    sets = [_hash_set(r["text"], size) for r in rows]
+    lengths = np.array([len(x) for x in sets])
+    starts = np.cumsum(lengths) - lengths
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    root = {r["root"]: r["root"] for r in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out, mark = [], np.zeros(len(names), np.int64)
+    for i, r in enumerate(rows):
+        if not r["open"]:
+            continue
+        own = place[starts[i] : starts[i] + lengths[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[place], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(100 * both >= percent * (lengths + lengths[i] - both)).tolist():
+            if (a := find(r["root"])) != (b := find(rows[j]["root"])):
+                root[a] = b
+                out.append((r["root"], rows[j]["root"]))
+    return out
+
+
+def _blocks(batches, size: int, percent: int):
+    """Sorted rows of (group, i, j); yields the links of each such task."""
+    key, held = None, []
+    names = ("group", "i", "j", "node", "root", "open", "text")
+
+    def batch(rows):
+        found = _links(rows, size, percent)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for b in batches:
+        for values in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if values[:3] != key:
+                if len(held) > 1:
+                    yield batch(held)
+                key, held = values[:3], []
+            held.append(dict(zip(names, values, strict=True)))
+    if len(held) > 1:
+        yield batch(held)
+
+
+def _placed(nodes: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Adds each node's least node in parts (u, v), itself if it has none."""
+    named = parts.select(F.col("u").alias("node"), F.col("v").alias("least_"))
+    return nodes.join(named, "node", "left").withColumn(name, F.coalesce("least_", "node")).drop("least_")
+
+
 def link_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (least doc_id linked to it, directly or not), kept."""
     spark = docs.sparkSession
@@ -103,48 +159,32 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = tables.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n")))
     keys = sets.select("digest", F.col("doc_id").alias("node"), F.explode("keys").alias("key")).join(nodes, ["digest", "node"]).select("key", "node", "n")
     shared = tables.save(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("z")).where("pivot < z").select("key", "pivot"))
-    members = tables.save(keys.join(shared.select("key"), "key").distinct())
-    texts = tables.save(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
-    parts = tables.save(spark.createDataFrame([], "u long, v long"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-        near = near.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-        return near.select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, size=size, percent=percent), "u long, v long")
-
-    def closer(parts: DataFrame, pairs: DataFrame) -> DataFrame:
-        links = tables.save(confirmed(pairs))
-        out = parts if links.isEmpty() else connected(parts.select("u", "v").union(links), tables)
-        tables.drop(links)
-        return out
-
-    sized = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    first = True
-    live = members
-    while True:
-        placed = live.join(parts.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")) if not first else live.withColumn("root", F.col("node"))
-        placed = tables.save(placed.select("key", "node", "n", "root"))
-        pivot = placed.groupBy("key").agg(F.min("node").alias("pivot"), F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key", "pivot")
-        pivot = tables.save(pivot)
-        if pivot.isEmpty():
-            break
-        known = placed.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        heads = tables.save(pivot.join(known, ["key", "pivot"]).distinct())
-        met = placed.join(heads, "key")
-        pairs = met.where(f"node > pivot and root <> proot and {sized}").groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("c"))
-        if first:  # most nodes hang on the pivot they share most keys with; the rest is tried in the next rounds
-            best = pairs.groupBy("u").agg(F.max(F.struct("c", (-F.col("v")).alias("w"))).alias("best"))
-            pairs, first = best.select("u", (-F.col("best.w")).alias("v")), False
-            left = placed.join(heads.select("key"), "key", "left_semi").select("key", "node", "n")
-        else:
-            left = met.where("node > pivot").select("key", "node", "n")
-        pairs = tables.save(pairs.select("u", "v"))
-        old = parts
-        parts = closer(parts, pairs)
-        if parts is not old:
-            tables.drop(old)
-        live_old, live = live, tables.save(left)
-        tables.drop(pairs, placed, pivot, heads, *([live_old] if live_old is not members else []))
+    met = tables.save(keys.join(shared, "key").groupBy("node", "pivot", "n").agg(F.count("*").alias("c")))
+    tables.drop(shared)
+    members = met.groupBy("node").agg(F.min("n").alias("n"))
+    texts = tables.save(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]))
+    pairs = met.where("node > pivot").groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("w"))).alias("best")).select(F.col("node").alias("u"), (-F.col("best.w")).alias("v"))
+    near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
+    near = tables.save(near.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, size=size, percent=percent), "u long, v long"))
+    first = jumped(near, tables)  # each node hangs on one smaller node
+    groups = connected(met.where("node > pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), tables)
+    held = tables.save(_placed(_placed(members.select("node"), first, "root"), groups, "group"))
+    sizes = held.groupBy("group", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("group").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
+    largest = tables.save(largest.select("group", F.col("top.root").alias("top"), F.col("top.c").alias("n_closed"), (F.col("all") - F.col("top.c")).alias("n_open")))
+    todo = held.join(largest, "group").withColumn("open", F.col("root") != F.col("top"))
+    todo = todo.withColumn("opens", F.ceil(F.col("n_open") / BLOCK)).withColumn("blocks", F.col("opens") + F.ceil(F.col("n_closed") / BLOCK))
+    spread = F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("opens")).otherwise(F.col("blocks") - F.col("opens")))
+    todo = todo.withColumn("b", spread + F.when(F.col("open"), F.lit(0)).otherwise(F.col("opens")))
+    todo = todo.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("open"), F.col("blocks")).otherwise(F.col("opens")) - 1)))
+    todo = todo.select("group", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "node", "root", "open")
+    todo = todo.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    more = todo.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").select("group", "i", "j", "node", "root", "open", "text")
+    more = tables.save(more.mapInArrow(partial(_blocks, size=size, percent=percent), "u long, v long"))
+    parts = held.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if not more.isEmpty():
+        parts = _placed(parts.select(F.col("u"), F.col("v").alias("node")), connected(more, tables), "top").select("u", F.col("top").alias("v"))
+    tables.drop(largest, texts, met, more)
     whole = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     roots = nodes.join(parts.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = whole.join(tables.save(roots), "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
