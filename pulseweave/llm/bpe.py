@@ -45,7 +45,7 @@ class MergeReplay:
 
     def merged(self, pair: tuple[int, int]) -> int | None:
         if pair not in self.pairs:
-            if len(self.pairs) >= C.CACHE_WORDS:
+            if len(self.pairs) >= C.CACHE_WORDS // 4:
                 self.pairs.clear()
             self.pairs[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]])
         return self.pairs[pair]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words a worker remembers before it starts its cache anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 ODD = 0x9E3779B97F4A7C15
 
 
