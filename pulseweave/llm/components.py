@@ -27,7 +27,7 @@ def connected(links: DataFrame, tables: Scratch) -> DataFrame:
     join of written tables, so a node with very many neighbours is split), then that label's own label. It ends when
     no label has changed.
     """
-    both = tables.save(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    both = tables.save(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v"))
     labels = tables.save(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")))
     while True:
         known = labels.select(F.col("u").alias("v"), F.col("v").alias("label"))

@@ -7,9 +7,8 @@ thresholds used here a linked pair lies beyond that distance, and has two differ
 probability below 1e-6. Links are confirmed on the full sets of shingles.
 
 Equal sets are folded into one node first. Buckets are never expanded into pairs: every node is first confirmed against
-the one bucket minimum that it shares most keys with, which links most of a group. Nodes that can meet at all (linked by
-shared keys) form a candidate group; where a group still has several components, its nodes outside the largest one are
-compared with the group's nodes in blocks of BLOCK, a task holding two blocks, and only links that join two components
+the one bucket minimum that it shares most keys with, which links most of a group. Components
+that share a key form a candidate group; its nodes outside the largest component are compared with the group's nodes in blocks of BLOCK, a task holding two blocks, and only links that join two components
 are emitted. Every pair that shares a key is thus confirmed or already connected.
 
 Defined cases: null, empty or blank text has no shingles and links to nothing; fewer words than `size` make one shingle;
@@ -167,8 +166,10 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     near = tables.save(near.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, size=size, percent=percent), "u long, v long"))
     first = jumped(near, tables)  # each node hangs on one smaller node
-    groups = connected(met.where("node > pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), tables)
-    held = tables.save(_placed(_placed(members.select("node"), first, "root"), groups, "group"))
+    roots = tables.save(_placed(members.select("node"), first, "root"))  # groups are sought between roots, as nodes of one root are linked
+    sides = met.where("node > pivot").select("node", "pivot").join(roots, "node").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("other")), "pivot")
+    groups = connected(sides.where("root <> other").select(F.col("root").alias("u"), F.col("other").alias("v")).distinct(), tables)
+    held = tables.save(roots.join(groups.select(F.col("u").alias("root"), F.col("v").alias("group")), "root"))
     sizes = held.groupBy("group", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("group").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
     largest = tables.save(largest.select("group", F.col("top.root").alias("top"), F.col("top.c").alias("n_closed"), (F.col("all") - F.col("top.c")).alias("n_open")))
@@ -181,11 +182,11 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     todo = todo.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
     more = todo.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").select("group", "i", "j", "node", "root", "open", "text")
     more = tables.save(more.mapInArrow(partial(_blocks, size=size, percent=percent), "u long, v long"))
-    parts = held.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    parts = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not more.isEmpty():
         parts = _placed(parts.select(F.col("u"), F.col("v").alias("node")), connected(more, tables), "top").select("u", F.col("top").alias("v"))
     tables.drop(largest, texts, met, more)
     whole = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    roots = nodes.join(parts.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    out = whole.join(tables.save(roots), "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    ends = nodes.join(parts.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    out = whole.join(tables.save(ends), "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
