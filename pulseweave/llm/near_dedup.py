@@ -161,7 +161,7 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     met = tables.save(keys.join(shared, "key").groupBy("node", "pivot", "n").agg(F.count("*").alias("c")))
     tables.drop(shared)
     members = met.groupBy("node").agg(F.min("n").alias("n"))
-    texts = tables.save(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]))
+    texts = tables.save(docs.join(members.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     pairs = met.where("node > pivot").groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("w"))).alias("best")).select(F.col("node").alias("u"), (-F.col("best.w")).alias("v"))
     near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     near = tables.save(near.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, size=size, percent=percent), "u long, v long"))
