@@ -40,6 +40,8 @@ class MergeReplay:
         self.tokens = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.pairs: dict[tuple[int, int], int | None] = {}
+        self.bytes_ = np.array(self.single)
+        self.doubles = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -52,14 +54,27 @@ class MergeReplay:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Encodes the words together, rank by rank."""
-        ids, after, before, owner = [], [], [], []
-        where: dict[int, list[int]] = {}  # rank of the merge -> left places
-        heap: list[int] = []
-        starts = []
-
-        def put(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (rank := self.merged((ids[i], ids[j]))) is not None:
+        if not words:
+            return []
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        starts = [0, *ends[:-1].tolist()]
+        right, left = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        filled = ends[np.diff(ends, prepend=0) > 0]
+        right[filled - 1], left[filled[:-1]] = -1, -1
+        ids, after, before = self.bytes_[flat].tolist(), right.tolist(), left.tolist()
+        # the index: rank of the merge -> left places
+        at = np.flatnonzero(right >= 0)
+        ranks = self.doubles[flat[at] * 256 + flat[at + 1]]
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        heads, first = np.unique(ranks[order], return_index=True)
+        heap = heads.tolist()  # sorted, so a heap
+        where: dict[int, list[int]] = {r: x.tolist() for r, x in zip(heap, np.split(at[order], first[1:]), strict=True)} if heap else {}
+        merged = self.merged
+
+        def put(i: int, j: int) -> None:
+            if (rank := merged((ids[i], ids[j]))) is not None:
                 places = where.get(rank)
                 if places is None:
                     where[rank] = [i]
@@ -67,15 +82,6 @@ class MergeReplay:
                 else:
                     places.append(i)
 
-        for w in words:
-            starts.append(len(ids))
-            n = len(w)
-            base = len(ids)
-            ids += [self.single[c] for c in w]
-            after += [*range(base + 1, base + n), -1][:n]
-            before += [-1, *range(base, base + n - 1)][:n]
-        for i in range(len(ids)):
-            put(i)
         while heap:
             rank = heapq.heappop(heap)
             places = sorted(where.pop(rank))  # left to right, as equal ranks are merged
@@ -85,15 +91,15 @@ class MergeReplay:
                     heapq.heappush(heap, rank)
                     break
                 j = after[i]
-                if ids[i] < 0 or j < 0 or self.merged((ids[i], ids[j])) != rank:
+                if ids[i] < 0 or j < 0 or merged((ids[i], ids[j])) != rank:
                     continue  # a neighbour has taken part in another merge
                 ids[i], ids[j] = rank, -1
-                after[i] = after[j]
-                if after[j] >= 0:
-                    before[after[j]] = i
-                put(i)
-                if before[i] >= 0:
-                    put(before[i])
+                after[i] = j = after[j]
+                if j >= 0:
+                    before[j] = i
+                    put(i, j)
+                if (j := before[i]) >= 0:
+                    put(j, i)
         out = []
         for s, w in zip(starts, words, strict=True):
             got, i = [], s if w else -1
@@ -110,8 +116,10 @@ class MergeReplay:
             self.pieces.clear()
         fresh = {p for c in cut for p in c if p not in self.pieces}
         split = {p: self.pattern.findall(p) for p in fresh}
-        unknown = list({w for ws in split.values() for w in ws})
-        known = {}
+        if len(self.words) >= C.CACHE_WORDS // 2:
+            self.words.clear()
+        known = self.words
+        unknown = list({w for ws in split.values() for w in ws if w not in known})
         for k in range(0, len(unknown), 20_000):
             some = unknown[k : k + 20_000]
             for w, ids in zip(some, self.replay([w.encode() for w in some]), strict=True):
