@@ -14,6 +14,8 @@ blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,24 +31,80 @@ END, BLOCK = 2, 1 << 18
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
+#: Fixed value: the split into pieces of the files whose words may be encoded in lines.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What may follow a word of letters without changing its ids: ASCII signs and digits, no apostrophe.
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
+LINE = 5000
+
+
 class WordIds(dict):
-    """word -> ids (little-endian unsigned 32-bit) from the tokenizers library, whose files of this kind drop white space."""
+    """word -> ids (little-endian, of the width the vocabulary needs) from the tokenizers library, whose files of this kind drop white space.
+
+    Words of letters are encoded many to a line, where the split of the file is the known one: each is then one piece,
+    and a piece ends with the one id that carries the suffix of word ends. A tail of signs is encoded apart, once.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.wide = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        form = json.loads(self.tokenizer.to_str())
+        suffix = form["model"].get("end_of_word_suffix")
+        self.lines = bool(suffix) and SPLIT in [x.get("pattern", {}).get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def _each(self, words: list[str]) -> None:
+        for k in range(0, len(words), LINE):
+            some = words[k : k + LINE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[w.encode()] = np.array(e.ids, self.wide).tobytes()
+
+    def _in_lines(self, words: list[str]) -> None:
+        for k in range(0, len(words), LINE):
+            some = words[k : k + LINE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.wide)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a word of several pieces; every word has at least one
+                self._each(some)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, z in zip(some, (cuts * ids.itemsize).tolist(), strict=True):
+                self[w.encode()] = data[at:z]
+                at = z
+
+    def _learn(self, words: set[bytes]) -> None:
+        if not self.lines:
+            return self._each([w.decode() for w in words])
+        stems, others, cut = set(), set(), []
+        for w in words:
+            s = w.decode()
+            stem = s.rstrip(TAIL)
+            if not (stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())):
+                others.add(s)
+                continue
+            tail = s[len(stem) :]
+            if stem.isascii():
+                stem = stem.lower()
+            stems.add(stem)
+            if tail:
+                others.add(tail)
+            if stem + tail != s or tail:
+                cut.append((w, stem.encode(), tail.encode()))
+        self._each([w for w in others if w.encode() not in self])
+        self._in_lines([w for w in stems if w.encode() not in self])
+        for w, stem, tail in cut:
+            self[w] = self[stem] + self[tail] if tail else self[stem]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [C.text_bytes(t).split() for t in texts]
         if len(self) >= C.CACHE_WORDS:
             self.clear()
-        fresh = list({w for c in cut for w in c if w not in self})
-        for k in range(0, len(fresh), 5000):
-            some = fresh[k : k + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(set().union(*cut).difference(self))
         get = self.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -89,16 +147,17 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
     spark = docs.sparkSession
     C.small_batches(spark)
     tables = C.Scratch(spark, "ids")
-    from tokenizers import Tokenizer
-
-    wide = "<u4" if max(Tokenizer.from_file(path).get_vocab_size(), end + 1) > 1 << 16 else "<u2"
+    wide = encoder(path).wide if end < 1 << 16 else "<u4"
 
     def make():
         tool = encoder(path)
 
         def run(texts):
-            ids = [np.append(np.frombuffer(x, "<u4"), end) for x in tool.encode(texts)]
-            return [[x.astype(wide).tobytes() for x in ids], [len(x) for x in ids]]
+            ids, last, width = tool.encode(texts), np.array([end], wide).tobytes(), np.dtype(wide).itemsize
+            if wide != tool.wide:
+                ids = [np.frombuffer(x, tool.wide).astype(wide).tobytes() for x in ids]
+            ids = [x + last for x in ids]
+            return [ids, [len(x) // width for x in ids]]
 
         return run
 
@@ -108,13 +167,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
     def tally(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(x, wide))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), wide))
+            if len(n) > len(total):
+                n[: len(total)] += total
+                total = n
+            else:
+                total[: len(n)] += n
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["id", "n"])
 

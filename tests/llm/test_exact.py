@@ -249,6 +249,15 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.read_tokens(spark, folder + "-empty").count() == 0
 
 
+@given(st.lists(st.text(st.sampled_from("aBéΣİ²ß1.!'<|> s\u0301"), max_size=30), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_word_ids(texts):
+    tool = token_files.encoder(P.path("word_bpe_49k.json"))
+    tool.clear()
+    found = [np.frombuffer(x, tool.wide).tolist() for x in tool.encode(texts)]
+    assert found == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 @settings(max_examples=200, deadline=None)
 def test_codes(codes):
