@@ -44,6 +44,7 @@ class MergeReplay:
         self.doubles = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        C.CACHES.extend((self.words, self.pieces))
 
     def merged(self, pair: tuple[int, int]) -> int | None:
         if pair not in self.pairs:
@@ -112,11 +113,11 @@ class MergeReplay:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [PIECE.findall(t) if t else [] for t in texts]
-        if len(self.pieces) >= C.CACHE_WORDS:
+        if len(self.pieces) >= C.CACHE_WORDS // 2:
             self.pieces.clear()
         fresh = {p for c in cut for p in c if p not in self.pieces}
         split = {p: self.pattern.findall(p) for p in fresh}
-        if len(self.words) >= C.CACHE_WORDS // 2:
+        if len(self.words) >= C.CACHE_WORDS // 4:
             self.words.clear()
         known = self.words
         unknown = list({w for ws in split.values() for w in ws if w not in known})
@@ -140,7 +141,9 @@ def loaded(path: str, pattern: str) -> MergeReplay:
     """A worker's encoder, kept from task to task."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = MergeReplay(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    bpe = _LOADED[path, pattern]
+    C.alone(bpe.words, bpe.pieces)
+    return bpe
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:

@@ -95,6 +95,17 @@ def map_rows(df: DataFrame, make, fields: list[T.StructField], text: str = "text
     return src.mapInArrow(run, schema)
 
 
+#: What a worker remembers from task to task, of all operators.
+CACHES: list[dict] = []
+
+
+def alone(*mine: dict) -> None:
+    """Forgets what the operators that ran before in this worker remember, all caches but `mine`."""
+    for cache in CACHES:
+        if not any(cache is m for m in mine):
+            cache.clear()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered."""
 
@@ -106,6 +117,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+CACHES.append(HASHES)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
