@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -234,7 +235,7 @@ def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    folder = f"{shared_dir(spark)}/files-test"
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     token_files.write_tokens(docs, P.path("word_bpe_49k.json"), folder)
     found = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
     ids = {t: [*tool.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows}
@@ -268,7 +269,7 @@ def test_codes(codes):
 def test_token_counts(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
-    path, cache = P.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/cache-test"
+    path, cache = P.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
     tool = Tokenizer.from_file(path)
     expected = [(d, len((t or "").encode()), n := len(tool.encode(t or "", add_special_tokens=False).ids), n > 1024) for d, t in rows]
     for _ in range(2):  # the second run finds all counts in the cache
