@@ -5,8 +5,11 @@ that stays or moves on by a random bit for each step and word, so that few edits
 equal: edit distance becomes Hamming distance. Each of REPEATS tables samples SAMPLED steps of its own walk; a place in
 a document whose sampled outputs equal those of a piece of an item (an item has up to PIECES pieces of LEAST words,
 begun at its words that fewest items use) makes the item-sized window there a candidate. Tables are read as tries, so a
-walk stops at the first output that no item has. A
-candidate counts if the edit distance in words between item and best window is at most 1 - SIMILARITY of the item.
+walk stops at the first output that no item has.
+
+Walks may miss a passage. The exact way beside them: an item of more than LEAST words is cut, from its first word to its
+last, into one part more than the edits allowed, so one part of every passage within the limit is unedited; each place
+where a part's words (LEAST at most) stand is a candidate, too. A candidate counts if the edit distance in words between item and best window is at most 1 - SIMILARITY of the item.
 
 Items are taken in blocks of BLOCK, so what a task holds is bounded; documents are never joined or shuffled.
 
@@ -90,7 +93,7 @@ def _among(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray
 
 
 class ItemIndex:
-    """The items' tries: by piece length, the start words of pieces and for each repeat the prefix hashes and pieces."""
+    """The items' tries: by piece length, the start words of pieces and for each repeat the prefix hashes and pieces; by length, the hashes of their parts."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.items = {k: normal_words(t) for k, t in items}
@@ -122,6 +125,16 @@ class ItemIndex:
                     for s, x in zip(starts, key.tolist(), strict=True):
                         ends[r].setdefault(x, []).append((k, s))
             self.groups.append((_table(heads), [(r, steps, [_table(x) for x in levels[r]], ends[r]) for r, steps in enumerate(plan)]))
+        parts: dict[int, dict[int, list]] = {}
+        for k, w in self.items.items():
+            if len(w) > LEAST:
+                h = C.word_hashes(w)
+                n = min(self.allowed[k] + 1, len(w))
+                cuts = [len(w) * i // n for i in range(n + 1)]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    size = min(z - a, LEAST)
+                    parts.setdefault(size, {}).setdefault(int(C.gram_hashes(h[a : a + size], size)[0]), []).append((k, a))
+        self.parts = [(size, _table(set(ends)), ends) for size, ends in sorted(parts.items())]
 
     def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, place where it would start); PAD in h ends a document."""
@@ -143,6 +156,11 @@ class ItemIndex:
                         break
                 for s, x in zip(start.tolist(), key.tolist(), strict=True):
                     out.update((k, s - off, s) for k, off in ends[x])
+        for size, table, ends in self.parts:
+            grams = C.gram_hashes(h, size)
+            on = _among(table, grams)
+            for s, x in zip(on.tolist(), grams[on].tolist(), strict=True):
+                out.update((k, s - off, s) for k, off in ends[x])
         return out
 
     def hits(self, texts: list[str | None]) -> list[list[dict]]:
@@ -152,10 +170,12 @@ class ItemIndex:
         h = np.zeros(int(ends[-1]) if len(words) else 0, np.uint64)
         for w, end in zip(words, ends.tolist(), strict=True):
             h[end - 1 - len(w) : end - 1] = C.word_hashes(w)
-        found = sorted(self.candidates(h)) if self.groups else []
+        found = list(self.candidates(h)) if self.groups else []
         best: list[dict[int, tuple[int, int]]] = [{} for _ in words]
         docs = np.searchsorted(ends, [s for _, _, s in found], side="right").tolist()
-        for (k, place, _), d in zip(found, docs, strict=True):
+        for k, place, d in sorted({(k, place, d) for (k, place, _), d in zip(found, docs, strict=True)}):
+            if best[d].get(k, (1, 0))[0] == 0:  # places ascend: no later one is better
+                continue
             item, allowed, w = self.items[k], self.allowed[k], words[d]
             s = place - int(ends[d]) + 1 + len(w)
             lo = max(0, s - allowed)

@@ -178,6 +178,39 @@ def test_decontaminate_recall():
     assert all(h["item_id"] == i for i, found in enumerate(hits) for h in found)
 
 
+def edited(words: list[str], edits: int, rng, first: int | None = None) -> list[str]:
+    """The words after so many edits: anywhere, or at the words before place `first`."""
+    out = list(words)
+    for i in range(edits):
+        at, kind = int(rng.integers(len(out) if first is None else max(1, first - i))), rng.random()
+        out[at : at + 1] = [] if kind < 0.3 else ["new"] if kind < 0.7 else [out[at], "more"]
+    return out
+
+
+def assert_all_found(items: list[tuple[int, str]], rng) -> None:
+    """Items with all the edits that the limit allows, in other text: distance and place as by brute force, none lost."""
+    index = decontaminate.ItemIndex(items)
+    texts = []
+    for k, t in items:
+        w, fill = t.split(), [f"f{x}" for x in rng.integers(0, 900, 60)]
+        cut = len(w) // 5  # the first fifth gone, rewritten or edited, then edits anywhere
+        for body in (w[cut:], ["new"] * cut + w[cut:], edited(w, index.allowed[k], rng, first=max(1, cut)), edited(w, index.allowed[k], rng)):
+            texts.append((k, " ".join([*fill[:30], *body, *fill[30:]])))
+    hits = index.hits([t for _, t in texts])
+    for (k, t), found in zip(texts, hits, strict=True):
+        distance, end = decontaminate.edit_place(index.items[k], decontaminate.normal_words(t))
+        assert distance <= index.allowed[k]
+        assert {"item_id": k, "distance": distance, "word_end": end, "item_words": len(index.items[k])} in found, (k, t)
+
+
+def test_decontaminate_whole_item(spark):
+    """Long items are searched by all their words: real ones and ones whose words are equally rare."""
+    rng = np.random.default_rng(4)
+    real = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    assert_all_found([(k, " ".join(w.decode() for w in decontaminate.normal_words(t))) for k, t in real], rng)
+    assert_all_found([(i, " ".join(f"k{i}x{j}" for j in range(n))) for i, n in enumerate(range(13, 130))], rng)
+
+
 def tiktoken_encoding():
     import tiktoken
 
