@@ -7,9 +7,10 @@ a document whose sampled outputs equal those of a piece of an item (an item has
 begun at its words that fewest items use) makes the item-sized window there a candidate. Tables are read as tries, so a
 walk stops at the first output that no item has.
 
-Walks may miss a passage. The exact way beside them: an item of more than LEAST words is cut, from its first word to its
-last, into one part more than the edits allowed, so one part of every passage within the limit is unedited; each place
-where a part's words (LEAST at most) stand is a candidate, too. A candidate counts if the edit distance in words between item and best window is at most 1 - SIMILARITY of the item.
+Walks may miss a passage: all begin at a piece's exact first word, and short items have one piece or few. The exact way
+beside them: every item is cut, from its first word to its last, into one part more than the edits allowed, so one part
+of every passage within the limit is unedited; each place where a part's words (LEAST at most) stand is a candidate, too.
+So no hit is lost for a similarity above 0, and the walks alone find none that the parts do not. A candidate counts if the edit distance in words between item and best window is at most 1 - SIMILARITY of the item.
 
 Items are taken in blocks of BLOCK, so what a task holds is bounded; documents are never joined or shuffled.
 
@@ -127,7 +128,7 @@ class ItemIndex:
             self.groups.append((_table(heads), [(r, steps, [_table(x) for x in levels[r]], ends[r]) for r, steps in enumerate(plan)]))
         parts: dict[int, dict[int, list]] = {}
         for k, w in self.items.items():
-            if len(w) > LEAST:
+            if w:
                 h = C.word_hashes(w)
                 n = min(self.allowed[k] + 1, len(w))
                 cuts = [len(w) * i // n for i in range(n + 1)]

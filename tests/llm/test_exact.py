@@ -211,6 +211,13 @@ def test_decontaminate_whole_item(spark):
     assert_all_found([(i, " ".join(f"k{i}x{j}" for j in range(n))) for i, n in enumerate(range(13, 130))], rng)
 
 
+def test_decontaminate_short_items():
+    """Items of few words, also with the first words edited, and parts of common words that several items share."""
+    rng = np.random.default_rng(6)
+    assert_all_found([(i, " ".join(f"s{i}x{j}" for j in range(1 + i % 14))) for i in range(280)], rng)
+    assert_all_found([(i, " ".join(f"c{x}" for x in rng.integers(0, 40, 5 + i % 10))) for i in range(200)], rng)
+
+
 def tiktoken_encoding():
     import tiktoken
 
