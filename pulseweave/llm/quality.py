@@ -24,6 +24,7 @@ from . import common as C
 
 #: The training sample holds at most SAMPLE documents of each label, those with the least hashes, and SAMPLE_CHARS in all of them.
 SAMPLE, SAMPLE_CHARS, STRETCH, DICTIONARY, LEVEL = 1000, 8_000_000, 512, 1 << 15, 3
+LONGEST = SAMPLE_CHARS // 10  # of a longer text its beginning is learned, so that no text takes the place of all others
 
 
 def stretches(data: bytes, size: int = STRETCH) -> list[bytes]:
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compressi
     rows = []
     for q in (0, 1):
         chosen = marks.where(f"quality = {q}").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        some = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(sample)
+        some = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(sample).withColumn("text", F.substring("text", 1, LONGEST))
         upto = F.sum(F.length("text")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))  # over `sample` rows
         rows.append([r["text"] for r in some.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).orderBy("h").collect()])
     bad, good = rows

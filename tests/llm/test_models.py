@@ -43,6 +43,18 @@ def test_edges(spark, docs, empty):
     assert quality.score_quality(docs, some).count() == docs.count()
 
 
+def test_long_training_texts(spark, monkeypatch):
+    """A text longer than the bound of all characters leaves its language and its label learned."""
+    for module, name in ((language, "CHARACTERS"), (quality, "SAMPLE_CHARS")):
+        monkeypatch.setattr(module, name, 2000)
+        monkeypatch.setattr(module, "LONGEST", 200, raising=False)
+    docs = spark.createDataFrame([(i, w * 1000, lang) for i, (w, lang) in enumerate([("the house ", "en"), ("das haus ", "de")])], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.langs == ["de", "en"] and model.predict("the house the house")[0] == "en"
+    marks = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert quality.train(docs, marks).line is not None
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 30])
 def test_codewords(n):
     words = language.codewords(n)
