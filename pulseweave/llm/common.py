@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import shutil
+import ctypes
+import gc
 import tempfile
 import uuid
-import zlib
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Words a worker remembers before it starts its cache anew.
-CACHE_WORDS = 1_000_000
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -31,9 +29,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; outside a cluster (setting unset) a temporary one of this session."""
+    """The folder that all executors share; in a local session that names none, a temporary one of this session."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pulseweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -95,33 +95,78 @@ def map_rows(df: DataFrame, make, fields: list[T.StructField], text: str = "text
     return src.mapInArrow(run, schema)
 
 
-#: What a worker remembers from task to task, of all operators.
-CACHES: list[dict] = []
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at `starts`, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def alone(*mine: dict) -> None:
-    """Forgets what the operators that ran before in this worker remember, all caches but `mine`."""
-    for cache in CACHES:
-        if not any(cache is m for m in mine):
-            cache.clear()
+#: Bytes that a worker's table may hold when a batch of texts begins, and about those of an entry beside the word's own.
+TABLE_BYTES, ENTRY = 96 << 20, 200
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered."""
+class _Numbers(dict):
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+class WordTable:
+    """What a worker remembers from task to task: words numbered as they come, with the values (ids) of each.
 
-HASHES = WordHashes()
-CACHES.append(HASHES)
+    `learn` gives the values of new words, one word after the other, and how many each has. Before a batch, a table that
+    has grown beyond its bytes forgets the half of its words that were used least.
+    """
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    every: list[WordTable] = []
+
+    def __init__(self, learn, dtype):
+        self.learn, self.dtype = learn, dtype
+        self.clear()
+        WordTable.every.append(self)
+
+    def clear(self) -> None:
+        self.words, self.bytes = _Numbers(), 0
+        self.values, self.starts, self.sizes, self.uses = np.zeros(0, self.dtype), *np.zeros((3, 0), np.int64)
+
+    def forget_half(self) -> None:
+        most = np.sort(np.argpartition(-self.uses, len(self.uses) // 2)[: len(self.uses) // 2])
+        keep = np.zeros(len(self.uses), bool)
+        keep[most] = True
+        left = list(compress(self.words, keep.tolist()))
+        self.words, self.uses = _Numbers(zip(left, range(len(left)), strict=True)), self.uses[most] // 2
+        self.bytes = sum(map(len, left)) + ENTRY * len(left)
+        self.values, self.sizes = self.values[ragged(self.starts[most], self.sizes[most])], self.sizes[most]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def look_up(self, cut: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all words of the lists, and where those of each list begin, with the total behind."""
+        if self.bytes > TABLE_BYTES:
+            self.forget_half()
+        known, n = len(self.words), np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if fresh := list(islice(reversed(self.words), len(self.words) - known))[::-1]:
+            values, sizes = self.learn(fresh)
+            self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+            self.values, self.sizes = np.concatenate([self.values, values.astype(self.dtype)]), np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.bytes += sum(map(len, fresh)) + ENTRY * len(fresh)
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
+        return self.values[ragged(self.starts[at], sizes)], ends
+
+
+def alone(*mine: WordTable) -> None:
+    """Forgets what the operators that ran before in this worker remember, all tables but `mine`, and gives back the memory."""
+    others = [t for t in WordTable.every if t.words and t not in mine]
+    for t in others:
+        t.clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,6 +176,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Values of (place in word, byte) for the first places; later ones are mixed one by one. No byte of white space is in a word.
+_PLACES = 64
+_VALUES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(ODD))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z
+_SOLID = ~np.isin(np.arange(256), [32, *range(9, 14)])
+_SLICE = 1 << 17  # bytes hashed at once
+
+
+def _text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts one after the other, and where each begins; nulls are empty."""
+    column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def _hash_words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    solid = _SOLID[raw]
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]  # a word ends with its text
+    begins[edges] = solid[edges]
+    ends[edges - 1] = solid[edges - 1]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    lengths = stops - starts
+    out, done = np.empty(len(starts), np.uint64), np.cumsum(lengths)
+    k = 0
+    while k < len(starts):
+        z = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + _SLICE, side="right")))
+        size = lengths[k:z]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first, size).astype(np.int32)
+        span = slice(starts[k], stops[z - 1])
+        bytes_ = raw[span][solid[span]]
+        if lower:
+            bytes_ = _FOLD[bytes_]
+        values = _VALUES[(np.minimum(place, _PLACES - 1) << 8) | bytes_]
+        if (late := np.flatnonzero(place >= _PLACES)).size:
+            values[late] = mix((place[late].astype(np.uint64) << np.uint64(8) | bytes_[late]) * np.uint64(ODD) + np.uint64(7))
+        out[k:z] = np.add.reduceat(values, first)
+        k = z
+    return mix(out), np.searchsorted(starts, at)
+
+
+def column_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts (runs without ASCII white space; A-Z lower-cased if asked for), and the
+    number of each text's first word, with the total behind. Long texts are hashed in slices."""
+    return _hash_words(*_text_buffers(column), lower)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The same of words without white space in them."""
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    return _hash_words(raw, np.array([0, len(raw)]), False)[0]
+
+
 _POWERS: list[np.ndarray] = []
 
 
@@ -142,9 +247,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n words, from prefix sums; arithmetic is modulo 2^64."""
+    """Hash of every run of n words, from prefix sums if n is large; arithmetic is modulo 2^64."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
+    if n <= 8:
+        return mix(sum(h[k : len(h) - n + 1 + k] * np.uint64(pow(ODD, k + 1, 1 << 64)) for k in range(n)))
     up, down = _powers(len(h))
     q = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down)])
     return mix((q[n:] - q[:-n]) * up[: len(h) - n + 1])
@@ -154,9 +261,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def py_crc(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
-def remove_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+#: Still used by token counts and files.
+CACHE_WORDS = 1_000_000
+CACHES: list[dict] = []

@@ -169,8 +169,7 @@ class ItemIndex:
         words = [normal_words(t) for t in texts]
         ends = np.cumsum([len(w) + 1 for w in words])
         h = np.zeros(int(ends[-1]) if len(words) else 0, np.uint64)
-        for w, end in zip(words, ends.tolist(), strict=True):
-            h[end - 1 - len(w) : end - 1] = C.word_hashes(w)
+        h[np.setdiff1d(np.arange(len(h)), ends - 1, assume_unique=True)] = C.word_hashes([x for w in words for x in w])
         found = list(self.candidates(h)) if self.groups else []
         best: list[dict[int, tuple[int, int]]] = [{} for _ in words]
         docs = np.searchsorted(ends, [s for _, _, s in found], side="right").tolist()
