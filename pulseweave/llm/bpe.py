@@ -180,7 +180,7 @@ class MergeReplay:
 
     def flat_ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where those of each text begin, with the total behind."""
-        return self.table.look_up([self.pattern.findall(t) if t else [] for t in texts])
+        return self.table.look_up(self.pattern.findall, texts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian integers."""

@@ -101,7 +101,7 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that a worker's table may hold when a batch of texts begins, and about those of an entry beside the word's own.
-TABLE_BYTES, ENTRY = 96 << 20, 200
+TABLE_BYTES, ENTRY = 160 << 20, 200
 
 
 class _Numbers(dict):
@@ -138,8 +138,17 @@ class WordTable:
         self.values, self.sizes = self.values[ragged(self.starts[most], self.sizes[most])], self.sizes[most]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def look_up(self, cut: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The values of all words of the lists, and where those of each list begin, with the total behind."""
+    def look_up(self, split, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all words that split() finds in the texts, and where those of each begin, with the total behind."""
+        on = gc.isenabled()
+        gc.disable()  # very many small objects, none in a cycle
+        try:
+            return self._look_up([split(t) if t else [] for t in texts])
+        finally:
+            if on:
+                gc.enable()
+
+    def _look_up(self, cut: list[list]) -> tuple[np.ndarray, np.ndarray]:
         if self.bytes > TABLE_BYTES:
             self.forget_half()
         known, n = len(self.words), np.array([len(c) for c in cut], np.int64)
@@ -261,6 +270,3 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: Still used by token counts and files.
-CACHE_WORDS = 1_000_000
-CACHES: list[dict] = []

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,26 +32,26 @@ def file_digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-class PieceCounts(dict):
+class PieceCounts:
     """piece -> tokens, from the tokenizers library; special strings inside texts are handled as is its default."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        self.table = C.WordTable(self.learn, np.int64)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for k in range(0, len(pieces), 5000):
+            found += map(len, self.tokenizer.encode_batch_fast(pieces[k : k + 5000], add_special_tokens=False))
+        return np.array(found), np.ones(len(found), np.int64)
+
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [PIECE.findall(t) for t in texts]
-        if len(self) >= C.CACHE_WORDS:
-            self.clear()
-        fresh = list({p for c in cut for p in c if p not in self})
-        for k in range(0, len(fresh), 5000):
-            some = fresh[k : k + 5000]
-            self.update(zip(some, map(len, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [sum(map(self.__getitem__, c)) for c in cut]
+        found, at = self.table.look_up(PIECE.findall, texts)
+        return np.diff(np.concatenate([[0], np.cumsum(found)])[at]).tolist()
 
 
 class SentencePieceCounts:
@@ -74,6 +75,7 @@ def counter(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[path] = SentencePieceCounts(path) if path.endswith(".model") else PieceCounts(path)
+    C.alone(*[t for t in [getattr(_LOADED[path], "table", None)] if t])
     return _LOADED[path]
 
 

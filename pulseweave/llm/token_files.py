@@ -15,8 +15,8 @@ blocks; other columns are ignored.
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,78 +35,94 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What may follow a word of letters without changing its ids: ASCII signs and digits, no apostrophe.
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
-LINE = 5000
+LINE, MARKED = 5000, 1 << 40
+#: Fixed value: the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, white space stays.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)} | {b: b for b in _PRINTED} | {32: 32}
 
 
-class WordIds(dict):
-    """word -> ids (little-endian, of the width the vocabulary needs) from the tokenizers library, whose files of this kind drop white space.
+class WordIds:
+    """word -> ids (little-endian, of the width the vocabulary needs) from the tokenizers library.
 
-    Words of letters are encoded many to a line, where the split of the file is the known one: each is then one piece,
-    and a piece ends with the one id that carries the suffix of word ends. A tail of signs is encoded apart, once.
+    Words are runs without ASCII white space, encoded once each. That is right for files that drop white space before
+    they split into pieces, so others are refused. Where the split is the known one, a word of letters is one piece: its
+    normal form (of many words at once) goes to the library's model as it is, and a tail of signs is encoded apart.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        if len(self.tokenizer.encode("a \t a", add_special_tokens=False).ids) != 2 * len(self.tokenizer.encode(" a", add_special_tokens=False).ids):
+            raise ValueError(f"{path} keeps white space: its texts cannot be encoded word by word")
         self.wide = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        self.table = C.WordTable(self.learn, self.wide)
         form = json.loads(self.tokenizer.to_str())
-        suffix = form["model"].get("end_of_word_suffix")
-        self.lines = bool(suffix) and SPLIT in [x.get("pattern", {}).get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = bool(suffix) and token.endswith(suffix)
-
-    def _each(self, words: list[str]) -> None:
+        normal = form["normalizer"] or {}
+        # lower-cased ASCII letters are their own normal form
+        self.plain = all(x["type"] in ("NFC", "Lowercase") or x.get("pattern") == {"Regex": "\\s+"} for x in normal.get("normalizers", [normal]) if x)
+        steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.letters = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == SPLIT and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+
+    def _each(self, words: list[str]) -> tuple[list[int], list[int]]:
+        ids, sizes = [], []
         for k in range(0, len(words), LINE):
-            some = words[k : k + LINE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[w.encode()] = np.array(e.ids, self.wide).tobytes()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + LINE], add_special_tokens=False)]
+            ids += chain.from_iterable(found)
+            sizes += map(len, found)
+        return ids, sizes
 
-    def _in_lines(self, words: list[str]) -> None:
+    def _letters(self, words: list[str]) -> tuple[list[int], list[int]]:
+        tokenize, normal, ids, sizes = self.tokenizer.model.tokenize, self.tokenizer.normalizer, [], []
         for k in range(0, len(words), LINE):
             some = words[k : k + LINE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.wide)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):  # a word of several pieces; every word has at least one
-                self._each(some)
-                continue
-            data, at = ids.tobytes(), 0
-            for w, z in zip(some, (cuts * ids.itemsize).tolist(), strict=True):
-                self[w.encode()] = data[at:z]
-                at = z
-
-    def _learn(self, words: set[bytes]) -> None:
-        if not self.lines:
-            return self._each([w.decode() for w in words])
-        stems, others, cut = set(), set(), []
+            line = " ".join(some)
+            if normal and not (self.plain and line.isascii()):
+                line = normal.normalize_str(line)
+            if line.count(" ") != len(some) - 1 or not line.replace(" ", "").isalpha():  # a normal form that is not one piece
+                more, n = self._each(some)
+                ids += more
+            else:
+                found = list(map(tokenize, line.encode().decode("latin-1").translate(BYTE_CHARS).split(" ")))
+                ids += [x.id for tokens in found for x in tokens]
+                n = map(len, found)
+            sizes += n
+        return ids, sizes
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain, marked, others = {}, {}, {}  # what is encoded, numbered: letters of ASCII, other letters, the rest
+        stems, tails = [], []
         for w in words:
+            if self.letters and w.isalpha():  # ASCII
+                stems.append(plain.setdefault(w.lower(), len(plain)))
+                tails.append(-1)
+                continue
             s = w.decode()
             stem = s.rstrip(TAIL)
-            if not (stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())):
-                others.add(s)
-                continue
-            tail = s[len(stem) :]
-            if stem.isascii():
-                stem = stem.lower()
-            stems.add(stem)
-            if tail:
-                others.add(tail)
-            if stem + tail != s or tail:
-                cut.append((w, stem.encode(), tail.encode()))
-        self._each([w for w in others if w.encode() not in self])
-        self._in_lines([w for w in stems if w.encode() not in self])
-        for w, stem, tail in cut:
-            self[w] = self[stem] + self[tail] if tail else self[stem]
+            if self.letters and stem.isalpha():
+                stems.append(plain.setdefault(stem.lower().encode(), len(plain)) if stem.isascii() else MARKED + marked.setdefault(stem, len(marked)))
+                s = s[len(stem) :]
+            else:
+                stems.append(-1)
+            tails.append(others.setdefault(s, len(others)) if s else -1)
+        (ids, sizes), (more, n), (rest, m) = self._letters([w.decode() for w in plain]), self._letters(list(marked)), self._each(list(others))
+        flat, size = np.array(ids + more + rest, np.int64), np.array(sizes + n + m + [0], np.int64)
+        stems, tails = np.array(stems), np.array(tails)
+        stems = np.where(stems >= MARKED, stems - MARKED + len(plain), stems)
+        order = np.stack([stems, np.where(tails >= 0, tails + len(plain) + len(marked), -1)], 1).ravel()  # -1: nothing
+        start = np.cumsum(size) - size
+        return flat[C.ragged(start[order], size[order])], size[order].reshape(-1, 2).sum(1)
+
+    def flat_ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each text begin, with the total behind."""
+        return self.table.look_up(bytes.split, texts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [C.text_bytes(t).split() for t in texts]
-        if len(self) >= C.CACHE_WORDS:
-            self.clear()
-        self._learn(set().union(*cut).difference(self))
-        get = self.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        """Each text's ids as little-endian integers."""
+        ids, at = self.flat_ids([C.text_bytes(t) for t in texts])
+        return [ids[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -118,6 +134,7 @@ def encoder(path: str) -> WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[path] = WordIds(path)
+    C.alone(_LOADED[path].table)
     return _LOADED[path]
 
 
@@ -153,15 +170,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
         tool = encoder(path)
 
         def run(texts):
-            ids, last, width = tool.encode(texts), np.array([end], wide).tobytes(), np.dtype(wide).itemsize
-            if wide != tool.wide:
-                ids = [np.frombuffer(x, tool.wide).astype(wide).tobytes() for x in ids]
-            ids = [x + last for x in ids]
-            return [ids, [len(x) // width for x in ids]]
+            ids, at = tool.flat_ids(texts)
+            ids = np.insert(ids.astype(wide), at[1:], end)
+            at = at + np.arange(len(at))
+            data, width = ids.tobytes(), ids.itemsize
+            return [[data[a * width : z * width] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.diff(at).tolist()]
 
         return run
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     ids = tables.save(C.map_rows(src, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], drop=("text",)))
 
     def tally(batches):
@@ -217,15 +234,15 @@ def read_tokens(spark, folder: str) -> DataFrame:
     """
     order = spark.read.parquet(f"{folder}/ranks").first()["ids"]
     held = spark.sparkContext.broadcast(np.array(order, np.uint32))
-    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("file", F.col("_metadata.file_path")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     from pyspark.sql import Window
 
-    files = blocks.groupBy("file").agg(F.sum("total").alias("n")).orderBy("file").collect()  # a row a file; part files are named in range order
+    files = blocks.groupBy("file").agg(F.sum("total").alias("n")).orderBy("file").collect()  # a row a file; part files are numbered in range order
     offsets, at = {}, 0
     for r in files:
         offsets[r["file"]] = at
         at += r["n"]
-    table = spark.createDataFrame(list(offsets.items()) or [("", 0)], "file string, base long")
+    table = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "file long, base long")
     at = Window.partitionBy("file").orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("first_row", F.col("_metadata.row_index"))
     sums = placed.select("file", "first_row", "total").withColumn("before", F.coalesce(F.sum("total").over(at), F.lit(0))).join(F.broadcast(table), "file").select("file", "first_row", (F.col("before") + F.col("base")).alias("base"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import uuid
 import zlib
@@ -9,11 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pulseweave.llm import bpe, decontaminate, jpeg, media, near_dedup, secrets, substring_dedup, token_counts, token_files
+from pulseweave.llm import bpe, common, decontaminate, jpeg, media, near_dedup, secrets, substring_dedup, token_counts, token_files
 from pulseweave.llm.common import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -268,7 +270,37 @@ def test_merge_replay_of_any_ranks(words, merges, rng):
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    assert tool.replay(words) == [alone(w) for w in words]
+    expected = [alone(w) for w in words]
+    assert tool.replay(words) == expected
+    if words:
+        ids, sizes = tool.waves(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == expected
+    assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode([w.decode() for w in words])] == expected
+
+
+def test_bpe_long_words():
+    """Words on both sides of the length from which merges are replayed place by place, and a table that forgets."""
+    tool, own, rng = bpe.MergeReplay(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN), tiktoken_encoding(), random.Random(3)
+    texts = ["".join(rng.choices("abcdetnoé", k=k)) for k in (1, bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 4000)] + ["a" * 3000, "é" * 300, " " * 500]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+        tool.table.forget_half()
+
+
+def test_word_hashes():
+    """Hashes of a column's words: equal for equal words only, whatever stands around them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abAB \t\n\u00a0é", k=rng.randint(0, 40))) for _ in range(500)] + [None, "", " ", "q" * 500 + " " + "q" * 499, "x" * 70 + "y", "x" * 70 + "z"]
+    for lower in (False, True):
+        for column in (pa.array(texts), pa.array(texts).slice(3, 200), pa.array(texts, pa.large_string())):
+            h, at = common.column_words(column, lower)
+            names: dict = {}
+            for t, a, z in zip(column.to_pylist(), at[:-1], at[1:]):
+                words = (t or "").encode()
+                words = (words.lower() if lower else words).split()
+                assert len(words) == z - a
+                assert all(names.setdefault(w, x) == x for w, x in zip(words, h[a:z].tolist()))
+            assert len(set(names.values())) == len(names)
 
 
 def test_token_files(spark, docs, rows, empty):
@@ -294,7 +326,7 @@ def test_token_files(spark, docs, rows, empty):
 @settings(max_examples=200, deadline=None)
 def test_word_ids(texts):
     tool = token_files.encoder(P.path("word_bpe_49k.json"))
-    tool.clear()
+    tool.table.clear()
     found = [np.frombuffer(x, tool.wide).tolist() for x in tool.encode(texts)]
     assert found == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
