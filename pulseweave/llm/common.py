@@ -55,6 +55,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets the driver forget shuffles whose results are saved, upon which executors delete their files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for t in tables:

@@ -3,8 +3,9 @@
 A window is WINDOW consecutive words; a word goes if a window over it also starts in a document with a smaller
 doc_id. The reference is cut into shards by the document a repeated passage first stands in, each shard holding only
 that document's repeated passages. A shard's suffix automaton is not sent to all executors, since the shards grow with
-the corpus: a splittable sort-merge join brings the regions of later documents to the shards they can match (found by
-sampled word runs, then window hashes), and the automaton streams them for matching statistics.
+the corpus: the regions of later documents are brought to the shards they can match (found by sampled word runs, then
+window hashes), a shard with many regions being copied to several tasks, and the automaton streams them for matching
+statistics.
 
 Steps: every window picks the run of GRAM words with the least hash (equal windows pick equal runs); runs seen under two
 doc_ids mark the windows that may repeat; their window hashes give each window's first document by a map-side minimum;
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, GRAM = 50, 20
+#: Bytes of a shard's regions that one task streams, and bytes of regions whose spans it remembers.
+TASK_BYTES, KNOWN_BYTES = 4 << 20, 16 << 20
 
 
 class SuffixAutomaton:
@@ -88,11 +91,14 @@ class SuffixAutomaton:
 
 def _anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each window, the hash of its least run of `gram` words."""
-    g = C.gram_hashes(h, gram)
-    width = window - gram + 1
-    if len(g) < width:
+    least = C.gram_hashes(h, gram)
+    width, have = window - gram + 1, 1
+    if len(least) < width:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(g, width).min(axis=1)
+    while have < width:  # minima of runs twice as long each time
+        step = min(have, width - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return least
 
 
 def _sha(words: list[bytes]) -> str:
@@ -101,27 +107,25 @@ def _sha(words: list[bytes]) -> str:
 
 def _survey(batches, window: int, gram: int):
     for b in batches:
-        n, sha, runs = [], [], []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = C.text_bytes(text).split()
-            n.append(len(words))
-            sha.append(_sha(words))
-            runs.append(C.signed(np.unique(_anchors(C.word_hashes(words), window, gram))) if doc is not None and len(words) >= window else [])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(sha), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "rid", "n_words", "sha", "runs"])
+        h, at = C.column_words(b.column("text"))
+        sha = [_sha((t or b"").split()) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        known = b.column("doc_id").is_valid().to_pylist()
+        runs = [C.signed(np.unique(_anchors(h[a:z], window, gram))) if ok else [] for ok, a, z in zip(known, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(np.diff(at), pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "rid", "n_words", "sha", "runs"])
 
 
 def _windows(batches, window: int, gram: int):
     """Hash and place of every window whose run was seen under two doc_ids."""
     for b in batches:
-        docs, rids, places, hashes = [], [], [], []
-        for doc, rid, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "text", "runs")), strict=True):
-            h = C.word_hashes(text.encode().split())
-            at = np.flatnonzero(np.isin(_anchors(h, window, gram), np.array(runs, np.int64).view(np.uint64)))
-            hashes.append(C.signed(C.gram_hashes(h, window)[at]))
-            places.append(at)
-            docs.append(np.full(len(at), doc, np.int64))
-            rids.append(np.full(len(at), rid, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, rids, places, hashes)], names=["doc_id", "rid", "pos", "wh"])
+        h, at = C.column_words(b.column("text"))
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, z, runs in zip(at[:-1].tolist(), at[1:].tolist(), b.column("runs"), strict=True):
+            on = np.flatnonzero(np.isin(_anchors(h[a:z], window, gram), runs.values.to_numpy().view(np.uint64)))
+            hashes.append(C.signed(C.gram_hashes(h[a:z], window)[on]))
+            places.append(on)
+        n = np.array([len(x) for x in places[1:]], np.int64)
+        docs, rids = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), n) for c in ("doc_id", "rid"))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(rids), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], names=["doc_id", "rid", "pos", "wh"])
 
 
 def _regions(batches, window: int):
@@ -145,16 +149,22 @@ def _regions(batches, window: int):
 
 
 def _match(batches, window: int):
-    """Streams regions through the automaton of their shard; equal shards come one after the other."""
-    key, automaton = None, None
+    """Streams regions through the automaton of their shard. Rows come shard by shard, its passages (doc_id null) before
+    the regions; spans of equal regions of a shard are found once."""
+    key, automaton, known, size = None, None, {}, 0
     for b in batches:
         out = {k: [] for k in ("doc_id", "rid", "start", "end")}
-        for first, doc, rid, start, words, passages in zip(*(b.column(c).to_pylist() for c in ("first", "doc_id", "rid", "start", "words", "passages")), strict=True):
-            if key != first or automaton is None:
-                key, automaton = first, SuffixAutomaton()
-                for p in passages:
-                    automaton.add(p.split())
-            for a, z in automaton.spans(words.split(), window):
+        for first, salt, doc, rid, start, words in zip(*(b.column(c).to_pylist() for c in ("first", "salt", "doc_id", "rid", "start", "words")), strict=True):
+            if key != (first, salt):
+                key, automaton, known, size = (first, salt), SuffixAutomaton(), {}, 0
+            if doc is None:
+                automaton.add(words.split())
+                continue
+            if words not in known:
+                if (size := size + len(words)) > KNOWN_BYTES:
+                    known, size = {}, len(words)
+                known[words] = automaton.spans(words.split(), window)
+            for a, z in known[words]:
                 for k, v in zip(out, (doc, rid, start + a, start + z), strict=True):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
@@ -206,15 +216,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     marked = tables.save(runs.join(seen, "run").groupBy("doc_id", "rid").agg(F.collect_set("run").alias("runs")))
     suspects = tables.save(docs.join(marked, ["doc_id", "rid"]))
     tables.drop(seen, marked)
-    windows = suspects.mapInArrow(partial(_windows, window=window, gram=gram), "doc_id long, rid long, pos long, wh long")
+    tables.release()
+    windows = suspects.mapInArrow(partial(_windows, window=window, gram=gram), "doc_id long, rid long, pos long, wh long")  # worked out twice: cheaper than kept
     first = tables.save(windows.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("z")).where("first < z").select("wh", "first"))
     hits = windows.join(first, "wh").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first")).alias("hits"))
     hits = tables.save(hits)
     tables.drop(first)
+    tables.release()
     regions = tables.save(suspects.drop("runs").join(hits, ["doc_id", "rid"]).mapInArrow(partial(_regions, window=window), "first long, doc_id long, rid long, start long, words binary"))
     tables.drop(hits)
-    shards = tables.save(regions.where("doc_id = first").groupBy("first").agg(F.collect_set("words").alias("passages")))
-    spans = regions.where("doc_id > first").join(shards, "first").mapInArrow(partial(_match, window=window), "doc_id long, rid long, start long, end long")
+    later = regions.where("doc_id > first")
+    shards = later.groupBy("first").agg(F.ceil(F.sum(F.length("words")) / TASK_BYTES).alias("salts"))
+    shards = tables.save(shards)
+    passages = regions.where("doc_id = first").select("first", "words").distinct().join(shards, "first")
+    passages = passages.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rid"), F.lit(0).cast("long").alias("start"), "words")
+    later = later.join(shards, "first").select("first", F.pmod(F.xxhash64("rid"), F.col("salts")).alias("salt"), "doc_id", "rid", "start", "words")
+    rows = passages.union(later).repartition("first", "salt").sortWithinPartitions("first", "salt", F.col("doc_id").isNotNull())
+    spans = rows.mapInArrow(partial(_match, window=window), "doc_id long, rid long, start long, end long")
     spans = tables.save(spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     tables.drop(regions, shards)
     cut = suspects.drop("runs").join(spans, ["doc_id", "rid"]).mapInArrow(_cut, "doc_id long, rid long, removed long, cut_sha string, kept_text string, spans array<struct<start:long,end:long>>")
