@@ -234,4 +234,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return C.map_rows(docs, make, fields + [T.StructField("ids", T.BinaryType())] * ids)
+    return C.map_rows(docs, make, fields + [T.StructField("ids", T.BinaryType())] * ids, table=True)

@@ -77,8 +77,28 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode()
 
 
-def map_rows(df: DataFrame, make, fields: list[T.StructField], text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Appends `fields` to every row. make() runs once a task and gives f(texts) -> one list a field.
+#: Places of the distinct hashes that least_hashes() lets through, for each that is wanted.
+SPARE = 4
+
+
+def least_hashes(rows: DataFrame, n: int, by: list[str], groups: int | None = None) -> DataFrame:
+    """Rows (with a column h, a 64-bit hash) that hold the n least hashes of each group, and few others: about SPARE * n
+    hashes of a group at every size, so that what is ranked later is bounded. `groups`: only so many groups, those of most hashes."""
+    count, wanted = F.approx_count_distinct("h"), SPARE * n + 100
+    if not by:
+        m = rows.agg(count).first()[0]
+        return rows if m <= wanted else rows.where(F.col("h") <= -(1 << 63) + int(wanted / m * (1 << 64)))
+    sizes = rows.groupBy(*by).agg(count.alias("m_"))
+    if groups:
+        sizes = sizes.orderBy(F.desc("m_"), *by).limit(groups)
+    most = F.lit(-(1 << 63)) + 2 * (F.lit(float(wanted)) / F.col("m_") * float(1 << 63)).cast("long")
+    sizes = sizes.select(*by, F.when(F.col("m_") > wanted, most).otherwise(F.lit((1 << 63) - 1)).alias("most_"))
+    return rows.join(F.broadcast(sizes), by).where("h <= most_").drop("most_")  # a row a group
+
+
+def map_rows(df: DataFrame, make, fields: list[T.StructField], text: str = "text", drop: tuple[str, ...] = (), table: bool = False) -> DataFrame:
+    """Appends `fields` to every row. make() runs once a task and gives f(texts) -> one list a field; `table` says that
+    it has called alone() for the word table that it uses.
 
     Other columns go through unchanged; those named like a new field are replaced by it.
     """
@@ -91,6 +111,8 @@ def map_rows(df: DataFrame, make, fields: list[T.StructField], text: str = "text
 
     def run(batches):
         f = make()
+        if not table:
+            alone()
         for b in batches:
             cols = f(b.column(keep.index(text)).to_pylist())
             arrays = [b.column(i) for i, c in enumerate(keep) if c not in drop]

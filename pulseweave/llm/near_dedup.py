@@ -83,6 +83,7 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches, size: int):
+    C.alone()
     for b in batches:
         sets = hash_sets(b.column("text"), size)
         n = np.array([len(s) for s in sets], np.int64)

@@ -7,7 +7,7 @@ a margin is a further span, kind `model`; margin: that of all but RARE of the or
 a twentieth of the secret ones lie under, and 0 at least.
 
 Defined cases: null text is empty; no span gives counts of 0 and the digest of an empty string; spans of different
-kinds may overlap; a model span never overlaps a pattern's; a table with nothing to train from leaves the built-in
+kinds may overlap; a model span never overlaps a pattern's (of a token that does, the parts outside are scored); a table with nothing to train from leaves the built-in
 ordinary sample; other columns go through, those named like an output are replaced.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +36,8 @@ SAMPLE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 PLAIN = re.compile(r"[A-Za-z+/_=-]+[0-9]{0,4}")
 KINDS = ("assign", "access", "hex")
 
-#: Bounds of the training sample and of the model.
+#: Bounds of the training sample (tokens; texts they are from, and characters of a text) and of the model.
+SAMPLE_TEXTS, LONGEST = 20_000, 20_000
 SAMPLE_TOKENS, DRAWN, LEAST, RARE = 20_000, 4_000, 16, 0.0005
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, 0, np.int64)
@@ -52,6 +54,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+class Covered:
+    """Places under spans, which come by start."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for a, z, _ in spans:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(z, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def outside(self, a: int, z: int) -> list[tuple[int, int]]:
+        """The parts of [a, z) that no span covers."""
+        out, i = [], bisect_right(self.ends, a)
+        while i < len(self.starts) and self.starts[i] < z:
+            if a < self.starts[i]:
+                out.append((a, self.starts[i]))
+            a = self.ends[i]
+            i += 1
+        return [*out, (a, z)] if a < z else out
+
+
 def _grams(token: str) -> np.ndarray:
     c = np.concatenate([[0, 0], _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]])
     return (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
@@ -86,11 +111,9 @@ class MarkovRatio:
         return self.score(token) > self.margin
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        out = []
-        for m in TOKEN.finditer(text):
-            if self.secret(m[0]) and not any(a < m.end() and m.start() < z for a, z, _ in taken):
-                out.append((m.start(), m.end(), "model"))
-        return out
+        covered = Covered(taken)
+        found = [part for m in TOKEN.finditer(text) for part in covered.outside(m.start(), m.end())]
+        return [(a, z, "model") for a, z in found if z - a >= LEAST and self.secret(text[a:z])]
 
 
 def drawn_secrets(n: int = DRAWN) -> list[str]:
@@ -102,19 +125,22 @@ def drawn_secrets(n: int = DRAWN) -> list[str]:
 def _label(texts: list[str | None]) -> list[list[list[dict]]]:
     out = []
     for text in texts:
-        base, found = base_spans(text or ""), []
+        covered, found = Covered(base_spans(text or "")), []
         for m in SAMPLE.finditer(text or ""):
-            hit = any(a < m.end() and m.start() < z for a, z, _ in base)
+            hit = covered.outside(*m.span()) != [m.span()]
             if hit or PLAIN.fullmatch(m[0]):  # else of unknown label
                 found.append({"token": m[0][:64], "secret": hit})
         out.append(found)
     return [out]
 
 
-def train(docs: DataFrame, text: str = "text", tokens: int = SAMPLE_TOKENS) -> MarkovRatio:
-    """Fits both models on at most `tokens` distinct tokens, those with the least hashes; the rest is drawn or built in."""
+def train(docs: DataFrame, text: str = "text", tokens: int = SAMPLE_TOKENS, texts: int = SAMPLE_TEXTS) -> MarkovRatio:
+    """Fits both models on at most `tokens` distinct tokens, those with the least hashes, of about `texts` distinct texts,
+    also those with the least hashes (a longer one's first LONGEST characters); the rest is drawn or built in."""
     kind = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("secret", T.BooleanType())]))
-    found = C.map_rows(docs.select(F.col(text).cast("string").alias("text")), lambda: _label, [T.StructField("tokens", kind)], drop=("text",))
+    some = docs.select(F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    some = C.least_hashes(some, texts // C.SPARE, []).withColumn("text", F.substring("text", 1, LONGEST)).dropDuplicates(["h"]).select("text")
+    found = C.map_rows(some, lambda: _label, [T.StructField("tokens", kind)], drop=("text",))
     found = found.select(F.explode("tokens").alias("t")).groupBy("t.token").agg(F.max("t.secret").alias("secret"))
     rows = found.orderBy(F.xxhash64("token"), "token").limit(tokens).collect()
     secret = [r["token"] for r in rows if r["secret"]]

@@ -106,6 +106,7 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _survey(batches, window: int, gram: int):
+    C.alone()
     for b in batches:
         h, at = C.column_words(b.column("text"))
         sha = [_sha((t or b"").split()) for t in b.column("text").cast(pa.binary()).to_pylist()]

@@ -100,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024) -> D
         tool = counter(path)
         return lambda texts: [tool.counts(texts)]
 
-    new = C.map_rows(missing, make, [T.StructField("n_tokens", T.LongType())], drop=("text",))
+    new = C.map_rows(missing, make, [T.StructField("n_tokens", T.LongType())], drop=("text",), table=True)
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     columns = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "text")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], content.alias("content_"), F.octet_length(whole).cast("long").alias("n_bytes"))

@@ -15,6 +15,7 @@ blocks; other columns are ignored.
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from itertools import chain
 
@@ -101,7 +102,7 @@ class WordIds:
                 continue
             s = w.decode()
             stem = s.rstrip(TAIL)
-            if self.letters and stem.isalpha():
+            if self.letters and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
                 stems.append(plain.setdefault(stem.lower().encode(), len(plain)) if stem.isascii() else MARKED + marked.setdefault(stem, len(marked)))
                 s = s[len(stem) :]
             else:
@@ -179,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
         return run
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ids = tables.save(C.map_rows(src, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], drop=("text",)))
+    ids = tables.save(C.map_rows(src, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], drop=("text",), table=True))
 
     def tally(batches):
         total = np.zeros(0, np.int64)
