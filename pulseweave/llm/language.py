@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Bounds of the training sample: documents of a language (least hashes) and characters of all of them; languages at most.
+#: Bounds of the training sample: documents of a language (least hashes) and their characters; languages at most.
 PER_LANGUAGE, CHARACTERS, LANGUAGES = 400, 2_000_000, 100
 LONGEST = CHARACTERS // 10  # of a longer text its beginning is learned, so that no text takes the place of all others
 FEATURES, LEAST_BITS, STEPS, AMBIGUOUS = 2048, 15, 120, 0.02
@@ -103,15 +103,15 @@ class OutputCodes:
 
 
 def train(docs: DataFrame, sample: int = PER_LANGUAGE) -> OutputCodes:
-    """Fits on at most `sample` documents of each language of the documents given; only text and lang are read."""
+    """Fits on at most `sample` documents of each language of the documents given, of the LANGUAGES with most texts; only
+    text and lang are read."""
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.withColumn("h", F.xxhash64("text")).withColumn("n", F.least(F.length("text"), F.lit(LONGEST)))
-    in_order = Window.partitionBy("lang").orderBy("h")
-    ranks = known.select("lang", "h", "n").distinct().withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= sample)
-    ranks = ranks.withColumn("upto", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= CHARACTERS)
-    ranks = ranks.select("lang", "h").limit(sample * LANGUAGES)
-    rows = known.join(F.broadcast(ranks), ["lang", "h"]).select("lang", "h", F.substring("text", 1, LONGEST).alias("text"))
-    rows = sorted(rows.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["h"], r["lang"]))
+    some = C.least_hashes(known, sample, ["lang"], LANGUAGES).withColumn("text", F.substring("text", 1, LONGEST)).dropDuplicates(["lang", "h"])
+    in_order = Window.partitionBy("lang").orderBy("h")  # over some times `sample` rows
+    some = some.withColumn("rank", F.row_number().over(in_order)).withColumn("upto", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = some.where((F.col("rank") <= sample) & (F.col("upto") <= CHARACTERS)).select("lang", "h", "text").collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"]))
     return OutputCodes([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
