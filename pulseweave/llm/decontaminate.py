@@ -12,7 +12,8 @@ beside them: every item is cut, from its first word to its last, into one part m
 of every passage within the limit is unedited; each place where a part's words (LEAST at most) stand is a candidate, too.
 So no hit is lost for a similarity above 0, and the walks alone find none that the parts do not. A candidate counts if the edit distance in words between item and best window is at most 1 - SIMILARITY of the item.
 
-Items are taken in blocks of BLOCK, so what a task holds is bounded; documents are never joined or shuffled.
+Items are taken in blocks of BLOCK, each in tasks of its own, so what a worker holds is bounded (it keeps the index of the
+last block); documents are never joined or shuffled.
 
 Defined cases: null or empty text or item has no hit; items shorter than the least piece are walked with a group of
 their own length; several hits of one item in a document count once, with the least distance and its first place;
@@ -21,6 +22,7 @@ equal items are reported each; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -188,6 +190,18 @@ class ItemIndex:
         return [[{"item_id": k, "distance": x, "word_end": e, "item_words": len(self.items[k])} for k, (x, e) in sorted(b.items())] for b in best]
 
 
+_LOADED: dict[tuple, ItemIndex] = {}
+
+
+def loaded(rows: list[tuple[int, str]], similarity: float) -> ItemIndex:
+    """A worker's index, kept from task to task; only the last one is."""
+    key = (similarity, hashlib.sha256(repr(rows).encode()).digest())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = ItemIndex(rows, similarity)
+    return _LOADED[key]
+
+
 def _blocks(benchmark: DataFrame, block: int):
     rows = []
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id").toLocalIterator():
@@ -207,11 +221,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     C.small_batches(docs.sparkSession, 300)
     columns = [c for c in docs.columns if c != "hits"]
     out = docs.select(*columns).withColumn("hits", F.array().cast(HITS))
+    tables, any_before = C.Scratch(docs.sparkSession, "items"), False
     for rows in _blocks(benchmark, block):
 
         def make(rows=rows):
-            index = ItemIndex(rows, similarity)
+            index = loaded(rows, similarity)
             return lambda texts: [index.hits(texts)]
 
+        if any_before:  # each block in tasks of its own
+            out = tables.save(out)
+        any_before = True
         out = C.map_rows(out, make, [T.StructField("new_hits_", HITS)]).withColumn("hits", F.concat("hits", "new_hits_")).drop("new_hits_")
     return out
