@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def bucket_runs(events: DataFrame, dt, chunk: int = 1 << 20) -> DataFrame:
 def window_reduce(events: DataFrame, window, how: str = "sum") -> DataFrame:
     """A tumbling sum or maximum by channel, given at the step's start."""
     width, fn = _positive(window), {"sum": F.sum, "max": F.max}[how]
-    return events.groupBy((floor_div("t_ns", width) * width).alias("t_ns"), "ch").agg(fn("val").alias("val"))
+    return events.groupBy((floor_div("t_ns", width) * width).alias("t_ns"), "ch").agg(fn("val").alias("val"), F.min("seq").alias("seq")).select("t_ns", "seq", "ch", "val")
 
 
 def gaps(events: DataFrame, chunk_ns: int = 3_600_000_000_000, positive: bool = False) -> DataFrame:
@@ -62,41 +64,57 @@ def gaps(events: DataFrame, chunk_ns: int = 3_600_000_000_000, positive: bool =
 RULES = {"nearest": lambda n, q: F.rint((n - 1) * F.lit(q)), "middle": lambda n, q: F.floor(n / 2), "floor": lambda n, q: F.least(F.floor(n * F.lit(q)), n - 1)}
 
 
-def pick_ranks(values: DataFrame, column: str, picks: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row with the values at exact ranks; equal values are counted first, so the ranked table is that of distinct ones.
+def counted(values: DataFrame, column: str) -> DataFrame:
+    """(v, c): the distinct values with how often each comes; a map-side aggregate."""
+    return values.groupBy(F.col(column).cast("long").alias("v")).agg(F.count("*").alias("c"))
+
 
-    The running count goes in two levels (by a range of values, then within), so that no window is global.
+def pick_ranks(counts: DataFrame, picks: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with the values at exact ranks of a table of counted().
+
+    Values are cut into stretches by their logarithm (a function of the value, so both readings of the table agree).
+    Running counts over the stretches, of which there are at most half a million, say in which each rank lies, and only
+    those few stretches are ranked value by value.
     """
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("c").alias("n"))
+    rows = counts.withColumn("part", (F.signum("v") * F.floor(F.log2(F.abs("v") + F.lit(1.0)) * 4096)).cast("long"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    parts = rows.groupBy("part").agg(F.sum("c").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    parts = parts.withColumn("all", F.sum("n").over(Window.partitionBy()))
+    within = lambda rule, q, lo, hi: (RULES[rule](F.col("all"), q) >= lo) & (RULES[rule](F.col("all"), q) < hi)
+    wanted = [within(rule, q, F.col("base"), F.col("base") + F.col("n")) for rule, q in picks.values()]
     inside = Window.partitionBy("part").orderBy("v")
-    placed = parts.join(totals, "part").withColumn("end", F.col("base") + F.sum("c").over(inside))
-    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    at = placed.crossJoin(F.broadcast(n))  # n is one row
-    chosen = [F.max(F.when((RULES[rule](F.col("n"), q) >= F.col("end") - F.col("c")) & (RULES[rule](F.col("n"), q) < F.col("end")), F.col("v"))).alias(name) for name, (rule, q) in picks.items()]
-    return at.agg(*chosen)
+    few = rows.join(F.broadcast(parts.where(F.greatest(*[w.cast("int") for w in wanted], F.lit(0)) == 1)), "part")  # a row a pick at most
+    few = few.withColumn("end", F.col("base") + F.sum("c").over(inside))
+    return few.agg(*[F.max(F.when(within(rule, q, F.col("end") - F.col("c"), F.col("end")), F.col("v"))).alias(name) for name, (rule, q) in picks.items()])
 
 
-def telemetry(events: DataFrame, positive: bool = True) -> DataFrame:
-    """One row: count, time range, rate, order statistics of gaps and of their distance from the median."""
-    dt = gaps(events, positive=positive)
-    some = {"dt_p50": ("nearest", 0.5), "dt_p95": ("nearest", 0.95), "dt_p99": ("nearest", 0.99), "dt_median": ("middle", 0.5)}
-    picked = pick_ranks(dt, "dt", some)
-    jitter = dt.crossJoin(F.broadcast(picked.select("dt_median"))).select(F.abs(F.col("dt") - F.col("dt_median")).alias("j"))
-    late = pick_ranks(jitter, "j", {"jitter_p50": ("nearest", 0.5), "jitter_p95": ("nearest", 0.95), "jitter_p99": ("nearest", 0.99)})
-    whole = events.agg(F.count("*").alias("n"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"))
-    whole = whole.withColumn("rate", F.when(F.col("last_ns") > F.col("first_ns"), F.col("n") / ((F.col("last_ns") - F.col("first_ns")) / 1e9)).otherwise(0.0))
-    return whole.crossJoin(picked).crossJoin(late)  # one row each
+def telemetry(events: DataFrame, positive: bool = True, host_ns: int | None = None) -> DataFrame:
+    """One row: count, time range, rate, gaps in whole microseconds with their order statistics, and the clock's: span,
+    drift against the host's span if that is given, and order statistics of the gaps' distance from their median.
+
+    Halves of microseconds round to even. Gaps are those above 0, or all if `positive` is off. The distances come from
+    the table of counted gaps, not from the rows again.
+    """
+    us = lambda c: F.rint(F.col(c) / F.lit(1000.0)).cast("long")
+    dt = counted(gaps(events, positive=positive).select(us("dt").alias("dt")), "dt")
+    some = {"dt_p50_us": ("nearest", 0.5), "dt_p95_us": ("nearest", 0.95), "dt_p99_us": ("nearest", 0.99), "dt_median_us": ("middle", 0.5)}
+    picked = pick_ranks(dt, some)
+    apart = dt.crossJoin(F.broadcast(picked.select("dt_median_us"))).groupBy(F.abs(F.col("v") - F.col("dt_median_us")).alias("v")).agg(F.sum("c").alias("c"))  # one row
+    late = pick_ranks(apart, {"jitter_p50_us": ("middle", 0.5), "jitter_p95_us": ("floor", 0.95), "jitter_p99_us": ("floor", 0.99)})
+    whole = events.agg(F.count("*").alias("count"), F.min("t_ns").alias("lo"), F.max("t_ns").alias("hi"))
+    span = F.coalesce(F.col("hi") - F.col("lo"), F.lit(0))
+    whole = whole.select("count", us("lo").alias("ts_min_us"), us("hi").alias("ts_max_us"), span.alias("sensor_duration_ns"))
+    whole = whole.withColumn("duration_us", us("sensor_duration_ns")).withColumn("events_per_second", F.when(F.col("duration_us") > 0, F.col("count") / (F.col("duration_us") / 1e6)).otherwise(0.0))
+    drift = F.lit(None).cast("double") if host_ns is None else (F.col("sensor_duration_ns") - F.lit(max(1, host_ns))) / F.lit(float(max(1, host_ns))) * 1e6
+    out = whole.withColumn("drift_ppm_est", drift).crossJoin(dt.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("dt_count"))).crossJoin(picked).crossJoin(late)  # one row each
+    return out.fillna(0, [c for c in out.columns if c.startswith(("dt_", "jitter_"))])
 
 
 def profile(events: DataFrame) -> DataFrame:
     """One row: count, time range, value range and mean, gap mean and order statistics."""
     whole = events.agg(F.count("*").alias("n"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"), F.min("val").alias("val_min"), F.max("val").alias("val_max"), F.avg(F.coalesce("val", F.lit(0.0))).alias("val_mean"))
     dt = gaps(events)
-    return whole.crossJoin(dt.agg(F.avg("dt").alias("dt_mean"))).crossJoin(pick_ranks(dt, "dt", {"dt_p50": ("middle", 0.5), "dt_p95": ("floor", 0.95)}))
+    return whole.crossJoin(dt.agg(F.avg("dt").alias("dt_mean"))).crossJoin(pick_ranks(counted(dt, "dt"), {"dt_p50": ("middle", 0.5), "dt_p95": ("floor", 0.95)}))
 
 
 def top_channels(events: DataFrame, k: int = 10) -> DataFrame:
@@ -145,3 +163,43 @@ def odd_gaps(events: DataFrame, z: float = 3.0) -> DataFrame:
     rows = events.withColumn("dt", F.col("t_ns") - F.lag("t_ns").over(inside)).where("dt is not null")
     stats = rows.groupBy("ch").agg(F.avg("dt").alias("m"), F.stddev_pop("dt").alias("sd"))
     return rows.join(stats, "ch").where(F.abs(F.col("dt") - F.col("m")) > z * F.col("sd")).select("ch", "t_ns", "seq", "dt")
+
+
+def flashes(events: DataFrame, window, pixels: int, share: float) -> DataFrame:
+    """Steps of time in which more than `share` of the sensor's pixels send at once: a flash, or made-up events."""
+    width = _positive(window)
+    step = events.groupBy((floor_div("t_ns", width) * width).alias("t_ns")).agg(F.count_distinct("x", "y").alias("active"), F.count("*").alias("n"))
+    return step.where(F.col("active") > share * pixels)
+
+
+def _median(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Middle value by channel; equal values are counted first."""
+    counts = rows.groupBy("ch", F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("ch").orderBy("v")
+    ranked = counts.withColumn("end", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy("ch")))
+    middle = F.floor(F.col("n") / 2)
+    return ranked.where((middle >= F.col("end") - F.col("c")) & (middle < F.col("end"))).select("ch", F.col("v").alias(name))
+
+
+def band_spikes(events: DataFrame, window, k: float = 6.0) -> DataFrame:
+    """Events over the median of their channel's step of time by more than k median absolute deviations of it."""
+    width = _positive(window)
+    rows = events.select("t_ns", "seq", F.col("ch").alias("band"), "val", (floor_div("t_ns", width) * width).alias("step")).where("val is not null")
+    rows = rows.withColumn("ch", F.struct("band", "step"))
+    rows = rows.join(_median(rows, "val", "med"), "ch").withColumn("off", F.abs(F.col("val") - F.col("med")))
+    rows = rows.join(_median(rows, "off", "mad"), "ch")
+    return rows.where(F.col("val") - F.col("med") > k * F.col("mad")).select("t_ns", "seq", F.col("band").alias("ch"), "val", "med", "mad")
+
+
+def moving_average(values: DataFrame, alpha: float, by: str = "seq", value: str = "val") -> DataFrame:
+    """One row: the exponential moving average after the last row, begun at the first: a weighted sum, so no fold is needed.
+
+    Weights fall below the least double some 745 / -ln(1 - alpha) rows from the end; only those rows are ranked."""
+    if not 0 < alpha <= 1:
+        raise EventError("sync", "alpha must be above 0 and at most 1")
+    rows = values.where(f"{value} is not null").select(F.col(by).alias("k"), F.col(value).cast("double").alias("v"))
+    reach = 1 if alpha == 1 else int(745 / -math.log1p(-alpha)) + 2
+    last = rows.orderBy(F.desc("k")).limit(reach).withColumn("age", F.row_number().over(Window.orderBy(F.desc("k"))) - 1)
+    first = rows.agg(F.count("*").alias("n"))
+    weight = F.when(F.col("age") == F.col("n") - 1, F.pow(F.lit(1 - alpha), "age")).otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), "age"))
+    return last.crossJoin(F.broadcast(first)).agg(F.sum(F.col("v") * weight).alias("ema"))  # one row

@@ -3,36 +3,85 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import hann, mel_filters
 from ..schema import EventError, time_ns
 
 
-def stft(samples: DataFrame, n_fft: int = 256, hop="10 ms", sample_rate: int = 16000, window: str = "hann") -> DataFrame:
-    """Magnitudes of bins 0 to n_fft / 2 of each frame that the samples reach the end of, at the frame's end.
-
-    A sample is spread to the frames it lies in and to the bins of a table of n_fft * (n_fft / 2 + 1) factors, and both
-    sums are map-side aggregates; frames without a sample in them have magnitudes of 0. Later samples at one index win.
+def sample_index(rate: int) -> F.Column:
+    """The sample nearest to t_ns, halves to even; seconds go apart from the rest, so real times neither overflow nor lose bits."""
+    whole = F.expr(f"(t_ns - pmod(t_ns, 1000000000L)) div 1000000000L * {rate}L")
+    odd = F.pmod(whole, F.lit(2))
+    return whole - odd + F.rint(F.expr("pmod(t_ns, 1000000000L)") * F.lit(float(rate)) / F.lit(1e9) + odd).cast("long")
+
+
+def _transformed(batches, n_fft: int, stride: int, per: int, weights: np.ndarray):
+    """Magnitudes of the frames of each bucket; rows come bucket by bucket, by index and arrival (index null: none)."""
+    bins = n_fft // 2 + 1
+
+    def frames_of(bucket: int, last: int, at: np.ndarray, val: np.ndarray):
+        first = bucket * per
+        n = min(per, last - first + 1)
+        if n <= 0:
+            return
+        x, at = np.zeros((per - 1) * stride + n_fft), at - first * stride
+        on = np.append(at[1:] != at[:-1], True) & (at >= 0) & (at < len(x))  # the latest of equal indices
+        x[at[on]] = val[on]
+        for a in range(0, n, 256):
+            f = np.arange(a, min(n, a + 256))
+            mags = np.abs(np.fft.rfft(x[f[:, None] * stride + np.arange(n_fft)] * weights, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first + f, bins)), pa.array(np.tile(np.arange(bins, dtype=np.int32), len(f))), pa.array(mags.ravel())], names=["frame", "k", "val"])
+
+    key, held = None, []
+    for b in batches:
+        bucket, last = b.column("bucket").to_numpy(), b.column("last").to_numpy()
+        known = ~b.column("i").is_null().to_numpy(zero_copy_only=False)
+        at, val = b.column("i").fill_null(0).to_numpy(), b.column("val").fill_null(0.0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a == z:
+                continue
+            if held and key != (bucket[a], last[a]):
+                yield from frames_of(*key, *map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            key = (bucket[a], last[a])
+            held.append((at[a:z][known[a:z]], val[a:z][known[a:z]]))
+    if held:
+        yield from frames_of(*key, *map(np.concatenate, zip(*held, strict=True)))
+
+
+def stft(samples: DataFrame, n_fft: int = 256, hop="10 ms", sample_rate: int = 16000, window: str = "hann", skip_empty: bool = False) -> DataFrame:
+    """Magnitudes of bins 0 to n_fft / 2 of each frame from sample 0 on that the samples reach the end of, at the frame's end.
+
+    Frames are dealt in buckets; a sample goes to the buckets it lies in (two at a seam), and a bucket is transformed at
+    once. Every bucket has a marker row, so that frames without a sample are given with magnitudes of 0; with
+    `skip_empty` buckets without any sample are left out, as a stream that begins far from time 0 needs. Of samples at
+    one index the latest counts, null is 0, samples before time 0 are ignored.
     """
     stride = max(1, round(time_ns(hop) * sample_rate / 1e9))
     if n_fft < 1 or sample_rate < 1:
         raise EventError("stft", "n_fft and sample_rate must be positive")
-    spark, bins = samples.sparkSession, n_fft // 2 + 1
-    w = hann(n_fft) if window == "hann" else [1.0] * n_fft
-    table = spark.createDataFrame([(i, k, w[i] * math.cos(2 * math.pi * k * i / n_fft), -w[i] * math.sin(2 * math.pi * k * i / n_fft)) for i in range(n_fft) for k in range(bins)], "off int, k int, re double, im double")
-    at = samples.select(F.rint(F.col("t_ns") * F.lit(sample_rate) / F.lit(1e9)).cast("long").alias("i"), F.coalesce("val", F.lit(0.0)).alias("val"), "seq")
-    at = at.groupBy("i").agg(F.max_by("val", "seq").alias("val"))
-    last = at.agg(F.max("i").alias("last"), F.min("i").alias("first")).withColumn("frames", F.expr(f"greatest((last - {n_fft - 1}) div {stride} + if(last < {n_fft - 1}, 0, 1), 0)"))
-    low = F.expr(f"greatest(0, (i - {n_fft - 1} + {stride - 1}) div {stride})")
-    parts = at.where("i >= 0").withColumn("frame", F.explode(F.sequence(low, F.greatest(low, F.expr(f"i div {stride}")))))
-    parts = parts.where(f"i between frame * {stride} and frame * {stride} + {n_fft - 1}").withColumn("off", (F.col("i") - F.col("frame") * stride).cast("int"))
-    sums = parts.join(F.broadcast(table), "off").groupBy("frame", "k").agg(F.sum(F.col("val") * F.col("re")).alias("re"), F.sum(F.col("val") * F.col("im")).alias("im"))
-    grid = last.where("frames > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = grid.join(sums, ["frame", "k"], "left").withColumn("val", F.sqrt(F.coalesce(F.col("re") * F.col("re") + F.col("im") * F.col("im"), F.lit(0.0))))
-    t = F.rint((F.col("frame") * stride + n_fft) * F.lit(1e9) / F.lit(sample_rate)).cast("long")
+    bins, per = n_fft // 2 + 1, max(-(-n_fft // stride), min(256, max(1, (1 << 18) // stride)))
+    w = np.array(hann(n_fft) if window == "hann" else [1.0] * n_fft)
+    at = samples.select(sample_index(sample_rate).alias("i"), F.coalesce("val", F.lit(0.0)).alias("val"), "seq").where("i >= 0")
+    last = at.agg(F.max("i").alias("top")).where(f"top >= {n_fft - 1}").select(F.expr(f"(top - {n_fft - 1}) div {stride}").alias("last"))
+    low = F.expr(f"greatest(0, (i - {n_fft - 1} + {stride - 1}) div {stride}) div {per}")
+    rows = at.withColumn("bucket", F.explode(F.sequence(low, F.greatest(low, F.expr(f"i div {stride} div {per}")))))
+    rows = rows.select("bucket", "i", "seq", "val")
+    if not skip_empty:
+        coarse = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {per} div 4096"))).alias("c"), F.expr(f"last div {per}").alias("end"))
+        marks = coarse.repartition("c").select(F.explode(F.sequence(F.col("c") * 4096, F.least(F.col("c") * 4096 + 4095, "end"))).alias("bucket"))
+        rows = rows.union(marks.select("bucket", F.lit(None).cast("long"), F.lit(-1).cast("long"), F.lit(None).cast("double")))
+    rows = rows.crossJoin(F.broadcast(last)).repartition("bucket").sortWithinPartitions("bucket", "i", "seq")  # last is one row
+    out = rows.mapInArrow(partial(_transformed, n_fft=n_fft, stride=stride, per=per, weights=w), "frame long, k int, val double")
+    end = F.col("frame") * stride + n_fft
+    t = F.expr(f"(frame * {stride} + {n_fft}) div {sample_rate}") * F.lit(1_000_000_000) + F.rint(F.pmod(end, F.lit(sample_rate)) * F.lit(1e9) / F.lit(float(sample_rate))).cast("long")
     return out.select(t.alias("t_ns"), (F.col("frame") * bins + F.col("k")).alias("seq"), F.col("k").alias("ch"), "val", F.lit("mag").alias("unit"))
 
 
@@ -81,4 +130,10 @@ def convolve(events: DataFrame, kernel: dict[int, float], stride: int = 1) -> Da
     """Weighted sums over neighbouring channels of one time: channel c gives kernel[d] times its value to (c - d) / stride."""
     taps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in kernel.items()]))
     out = events.withColumn("tap", taps).withColumn("to", F.col("ch") - F.col("tap.d")).where(f"to >= 0 and to % {stride} = 0")
-    return out.groupBy("t_ns", F.expr(f"to div {stride}").cast("int").alias("ch")).agg(F.sum(F.col("val") * F.col("tap.w")).alias("val"))
+    return out.groupBy("t_ns", F.expr(f"to div {stride}").cast("int").alias("ch")).agg(F.sum(F.col("val") * F.col("tap.w")).alias("val"), F.min("seq").alias("seq")).select("t_ns", "seq", "ch", "val")
+
+
+def convolve_bands(events: DataFrame, bands: int = 32, stride: int = 1, kernel: list[float] | None = None) -> DataFrame:
+    """convolve() of the first `bands` channels by a kernel that is centred on its middle weight (none: each channel by itself)."""
+    kernel = kernel or [1.0]
+    return convolve(events.where(f"ch between 0 and {bands - 1}"), {i - len(kernel) // 2: w for i, w in enumerate(kernel)}, stride)
