@@ -42,10 +42,19 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--backend", default="auto")
     q.add_argument("--input", action="append", default=[])
     q.add_argument("--out", required=True)
+    q.add_argument("--probes-out")
     q = sub.add_parser("sal-stream")
     q.add_argument("uri")
     q.add_argument("--out", required=True)
     q.add_argument("--telemetry-out")
+    q = sub.add_parser("compare")
+    q.add_argument("golden")
+    q.add_argument("test")
+    q.add_argument("--tol-time", type=float, default=1e-6)
+    q.add_argument("--tol-val", type=float, default=1e-6)
+    q = sub.add_parser("conformance")
+    q.add_argument("cases")
+    q.add_argument("--out", required=True)
     q = sub.add_parser("compare-traces")
     q.add_argument("golden")
     q.add_argument("candidate")
@@ -96,13 +105,17 @@ def _run(a) -> tuple[dict, bool]:
         events = readers.tensor_events(header, rows)
         return {"header": header, **aggregate.profile(events).first().asDict(), "top": [r.asDict() for r in aggregate.top_channels(events).collect()]}, True
     if a.cmd == "run":
-        return artifacts.compile_and_run(spark, load(a.path), a.input, a.out, () if a.backend == "auto" else (a.backend,)), True
+        return artifacts.compile_and_run(spark, load(a.path), a.input, a.out, () if a.backend == "auto" else (a.backend,), a.probes_out), True
     if a.cmd == "sal-stream":
-        events = readers.open_source(spark, a.uri)
-        pixels = events.where("x is not null").limit(1).count() > 0
-        writers.write_tensor(events, a.out, {**readers.DEFAULT_HEADER, "dims": ["x", "y", "polarity"] if pixels else ["ch"]}, pixels)
-        told = aggregate.telemetry(events)
+        told = readers.normalize(spark, a.uri, a.out)
         return (writers.write_telemetry(told, a.telemetry_out) if a.telemetry_out else told.first().asDict()), True
+    if a.cmd == "compare":
+        sides = [readers.read_log(spark, x) for x in (a.golden, a.test)]
+        found = compare.first_difference(*sides, a.tol_time, a.tol_val).first()
+        return {"events": sides[0].count(), "difference": found.asDict() if found else None}, not found
+    if a.cmd == "conformance":
+        results = artifacts.conformance(spark, load(a.cases), a.out)
+        return {"ok": all(results.values()), "results": results}, all(results.values())
     sides = [readers.read_tensor(spark, x, default=0.0) for x in (a.golden, a.candidate)]
     if sides[0][0]["units"]["time"] != sides[1][0]["units"]["time"]:
         return {"mismatches": [{"why": "time unit"}]}, False

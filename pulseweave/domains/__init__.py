@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.graph import Graph
 from ..schema import EventError
+from ..sources import readers
 
 
 def _require(kind: str, **values) -> None:
@@ -152,3 +153,14 @@ def music_generator(lag="100 ms", tau="20 ms", v_th=0.8, rounds: int = 1) -> Gra
 
 
 BUILDERS = {f.__name__: f for f in (optical_flow, corner_tracking, gesture_detect, object_tracking, voice_activity, keyword_spotter, diarization, localization, stft_frontend, mel_frontend, always_on, always_on_bands, reflex_controller, event_slam, obstacle_avoidance, anomaly_detector, change_point, spike_pattern_mining, hrv_index, sleep_staging, stress_index, bio_sequencer, event_graphics, music_generator)}
+
+
+def run_file(spark, uri: str, builder: str, **params):
+    """The streams of a ready-made graph with one input, fed from a source URI; `.wav` files give samples, not bands, to
+    graphs that begin with a spectrum."""
+    g = BUILDERS[builder](**params)
+    if len(g.inputs) != 1:
+        raise EventError("graph", f"{builder} has {len(g.inputs)} inputs")
+    path = readers.parse_uri(uri)[1]
+    samples = path.lower().endswith(".wav") and g.nodes[g.inputs[0]].kind == "stft"
+    return g.run(**{g.inputs[0]: readers.read_wav(spark, path) if samples else readers.open_source(spark, uri)})

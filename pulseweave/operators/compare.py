@@ -25,11 +25,11 @@ def traces_equal(a: DataFrame, b: DataFrame, eps_time: int = 0, eps_value: float
     return both.agg(F.count("*").alias("compared"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad")).withColumn("equal", F.col("bad") == 0)
 
 
-def first_difference(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
+def first_difference(a: DataFrame, b: DataFrame, tolerance: float, value_tolerance: float | None = None) -> DataFrame:
     """Of two logs (pos, type, t_s, payload map), the first position that differs in type, time or a shared numeric value."""
     both = a.select("pos", *[F.col(c).alias(f"a_{c}") for c in ("type", "t_s", "payload")], F.lit(1).alias("x")).join(b.select("pos", *[F.col(c).alias(f"b_{c}") for c in ("type", "t_s", "payload")], F.lit(1).alias("y")), "pos", "full_outer")
     shared = F.array_intersect(F.map_keys("a_payload"), F.map_keys("b_payload"))
     number = lambda side, k: F.element_at(side, k).try_cast("double")
-    apart = F.exists(shared, lambda k: F.coalesce(F.abs(number("a_payload", k) - number("b_payload", k)) > tolerance, F.lit(False)))
+    apart = F.exists(shared, lambda k: F.coalesce(F.abs(number("a_payload", k) - number("b_payload", k)) > (tolerance if value_tolerance is None else value_tolerance), F.lit(False)))
     why = F.when(F.col("x").isNull() | F.col("y").isNull(), "length").when(F.col("a_type") != F.col("b_type"), "type").when(F.abs(F.col("a_t_s") - F.col("b_t_s")) > tolerance, "time").when(F.coalesce(apart, F.lit(False)), "payload")
     return both.select("pos", why.alias("why")).where("why is not null").orderBy("pos").limit(1)

@@ -147,8 +147,11 @@ def plan(doc: dict, device: dict = SPARK_DEVICE) -> dict:
 BACKENDS = {"spark": SPARK_DEVICE, "cpu-sim": {**SPARK_DEVICE, "name": "cpu-sim", "time_resolution_ns": 1000}, "gpu-sim": {**SPARK_DEVICE, "name": "gpu-sim", "time_resolution_ns": 1000}}
 
 
-def run_documents(spark: SparkSession, planned: dict, inputs: list[str], out: str, unit: str = "us") -> int:
-    """Merges tensor files in canonical order into a golden trace; time units are converted. Returns the row count."""
+def run_documents(spark: SparkSession, planned: dict, inputs: list[str], out: str, unit: str = "us", doc: dict | None = None, probes_out: str | None = None) -> int:
+    """Merges tensor files in canonical order into a golden trace; time units are converted. Returns the row count.
+
+    With a document and `probes_out` its graph is run, too, the merged stream on every input node, and the streams of all
+    nodes and probes are written there, a folder a node."""
     merged, header = None, None
     for path in inputs:
         if faults := check_tensor(spark, path):
@@ -157,13 +160,20 @@ def run_documents(spark: SparkSession, planned: dict, inputs: list[str], out: st
         events = readers.tensor_events(head, rows)
         header = header or head
         merged = events if merged is None else stateless.merge(merged, events)
+    if merged is None:
+        raise EventError("input", "no input")
     pixels = "x" in header["dims"]
     head = {**header, "units": {**header["units"], "time": unit}, "dtype": "f32", "metadata": {"backend": planned["backend"], "plan_mode": planned["mode"], "graph": planned["graph"]}}
-    writers.write_tensor(merged, out, head, pixels)
-    return merged.count()
+    n = writers.write_tensor(merged, out, head, pixels)
+    if doc is not None and probes_out:
+        from .documents import lower, run_document
+        from .graph import trace
+
+        writers.write_trace(trace(run_document(doc, dict.fromkeys(lower(doc).inputs, merged))), probes_out)
+    return n
 
 
-def compile_and_run(spark: SparkSession, doc: dict, inputs: list[str], out: str, prefer: tuple[str, ...] = ()) -> dict:
+def compile_and_run(spark: SparkSession, doc: dict, inputs: list[str], out: str, prefer: tuple[str, ...] = (), probes_out: str | None = None) -> dict:
     """Checks, plans and runs a document on the first backend that can, preferred ones first."""
     if faults := check_graph(doc):
         raise EventError("eir", "; ".join(faults))
@@ -171,12 +181,37 @@ def compile_and_run(spark: SparkSession, doc: dict, inputs: list[str], out: str,
     for name in dict.fromkeys([*prefer, *BACKENDS]):
         try:
             planned = plan(doc, BACKENDS[name])
-            return {"plan": planned, "rows": run_documents(spark, planned, inputs, out)}
+            return {"plan": planned, "rows": run_documents(spark, planned, inputs, out, doc=doc, probes_out=probes_out)}
         except EventError as e:
             last = e
     raise last
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Rows with their position in seq order, for positional comparison."""
-    return rows.withColumn("pos", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long"))
+    """Rows with their position in seq order, for positional comparison: counted by stretches of seq, then within them."""
+    part = rows.withColumn("part_", F.expr("seq div 1048576"))
+    order = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    sizes = part.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(order), F.lit(0)).alias("base_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy("seq"))
+    return part.join(sizes, "part_").withColumn("pos", (F.col("base_") + inside - 1).cast("long")).select(*rows.columns, "pos")
+
+
+def conformance(spark: SparkSession, cases: list[dict], out: str) -> dict[str, bool]:
+    """Runs cases (name, uri, eir): each source is normalised, its document run on it twice, and the two traces compared.
+    Writes a badge a case to the folder `out`."""
+    from ..operators.compare import trace_mismatches
+
+    results = {}
+    for case in cases:
+        folder = Path(out, case["name"])
+        folder.mkdir(parents=True, exist_ok=True)
+        norm, traces = str(folder / "input.jsonl"), [str(folder / f"{k}.jsonl") for k in ("golden", "candidate")]
+        writers.write_telemetry(readers.normalize(spark, case["uri"], norm), str(folder / "telemetry.json"))
+        doc = json.loads(Path(case["eir"]).read_text())
+        for t in traces:
+            compile_and_run(spark, doc, [norm], t)
+        eps = doc["time"].get("epsilon_time_us", 100)
+        results[case["name"]] = trace_mismatches(*(placed(readers.read_tensor(spark, t)[1]) for t in traces), eps, doc["time"].get("epsilon_numeric", 1e-5)).isEmpty()
+    lines = [f"- {name}: {'pass' if ok else 'fail'}" for name, ok in results.items()]
+    Path(out, "badges.md").write_text("\n".join(["# Conformance", "", *lines, ""]))
+    return results

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import asdict, dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
@@ -36,8 +37,13 @@ operator("stft", times=("hop",))(spectral.stft)
 operator("mel")(spectral.mel)
 operator("threshold_events")(stateless.threshold)
 operator("window_reduce_events", times=("window",))(aggregate.window_reduce)
+operator("conv1d_events")(spectral.convolve_bands)
+operator("probe")(lambda events: events)
+operator("route")(lambda events, channels=None: events if channels is None else events.where(F.col("ch").isin(list(channels))))
+operator("group")(lambda events: events)
+operator("merge", ("a", "b"))(stateless.merge)
 #: Other names under which documents call the same operators.
-ALIASES = {"delay_line": "delay", "synapse_exp": "exp_syn", "spiking_neuron": "lif", "coincidence": "fuse"}
+ALIASES = {"delay_line": "delay", "synapse_exp": "exp_syn", "spiking_neuron": "lif", "coincidence": "fuse", "probe_spike": "probe"}
 
 
 @dataclass
@@ -107,13 +113,33 @@ class Graph:
             made[name] = fn(*feed, **self.nodes[name].params)
         return made
 
+    def metrics(self, streams: dict[str, DataFrame], made: dict[str, DataFrame], timed: bool = False) -> DataFrame:
+        """A row a node: kind, events in (over all its ports) and out and, if timed, the seconds that its stream takes from
+        the inputs on (streams are lazy, so a node's time holds that of the nodes before it)."""
+        counts = None
+        for name, df in [*made.items(), *((f"\0{k}", v) for k, v in streams.items())]:
+            n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stream"), "n")
+            counts = n if counts is None else counts.union(n)
+        spark, feeds = counts.sparkSession, []
+        for name, node in self.nodes.items():
+            given = {p: a for a, b, p in self.edges if b == name}
+            feeds += [(name, node.kind, given.get(p, f"\0{name}")) for p in KINDS[node.kind][0]]
+        seconds = {}
+        for name in self.order() if timed else []:
+            began = time.perf_counter()
+            made[name].write.format("noop").mode("overwrite").save()
+            seconds[name] = time.perf_counter() - began
+        table = spark.createDataFrame([(n, k, f, seconds.get(n)) for n, k, f in feeds], "node string, kind string, stream string, wall_time_s double")
+        fed = table.join(F.broadcast(counts), "stream").groupBy("node", "kind", "wall_time_s").agg(F.sum("n").alias("in_events"))
+        return fed.join(F.broadcast(counts.select(F.col("stream").alias("node"), F.col("n").alias("out_events"))), "node").select("node", "kind", "in_events", "out_events", "wall_time_s")
+
     def run_fixed(self, dt, keep_channel: bool = False, **streams: DataFrame) -> dict[str, DataFrame]:
         """Buckets the inputs to steps of dt first; channels are lost in that unless kept."""
 
         def step(s: DataFrame) -> DataFrame:
             if not keep_channel:
                 return aggregate.bucket_sum(s, dt)
-            return aggregate.window_reduce(s, dt).withColumn("seq", F.col("ch").cast("long")).withColumn("t_ns", F.col("t_ns") + time_ns(dt))
+            return aggregate.window_reduce(s, dt).withColumn("t_ns", F.col("t_ns") + time_ns(dt))
 
         return self.run(**{k: step(s) for k, s in streams.items()})
 

@@ -132,7 +132,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Log lines of type event or deliver, placed in order; others and broken lines are skipped."""
     row = F.from_json("value", "type string, t_s double, payload map<string,string>")
     rows = _lines(spark, path).select(row.alias("r"), "seq").where("r.type in ('event', 'deliver')")
-    return rows.select((F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("pos"), "r.type", "r.t_s", "r.payload")
+    rows = rows.withColumn("part", F.expr("seq div 1048576"))  # counted by stretches, then within them
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("seq"))
+    return rows.join(sizes, "part").select((F.col("base") + inside - 1).cast("long").alias("pos"), "r.type", "r.t_s", "r.payload")
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -148,11 +152,35 @@ def parse_uri(uri: str) -> tuple[str, str, dict[str, str]]:
     return u.scheme, query.get("path", u.netloc + u.path), query
 
 
+def is_tensor(uri: str) -> bool:
+    """Does the URI name a tensor file, by its ending or its format."""
+    _, path, query = parse_uri(uri)
+    return query.get("format") == "jsonl" or path.lower().endswith(".jsonl")
+
+
 def open_source(spark: SparkSession, uri: str) -> DataFrame:
-    """Events of scheme://path, by scheme and file name ending."""
+    """Events of scheme://path, by scheme and file name ending; tensor files are read under any scheme."""
     scheme, path, _ = parse_uri(uri)
+    if is_tensor(uri):
+        return tensor_events(*read_tensor(spark, path, default=0.0))
     tail = path.rpartition("/")[2]
     kind = tail.rpartition(".")[2].lower() if "." in tail else ""
     if (scheme, kind) not in SOURCES:
         raise EventError("sal.unsupported_source", uri)
     return SOURCES[scheme, kind](spark, path)
+
+
+def normalize(spark: SparkSession, uri: str, out: str, host_ns: int | None = None) -> DataFrame:
+    """Writes a source as a tensor file and gives its telemetry. Tensor files keep their header (a missing one is made up),
+    order and all gaps; other sources are written in canonical order, and only gaps above 0 count."""
+    from ..operators.aggregate import telemetry
+    from .writers import normalize_tensor, write_tensor
+
+    if is_tensor(uri):
+        header, rows = read_tensor(spark, parse_uri(uri)[1], default=0.0)
+        normalize_tensor(rows, out, header)
+        return telemetry(tensor_events(header, rows), positive=False, host_ns=host_ns)
+    events = open_source(spark, uri)
+    pixels = events.where("x is not null").limit(1).count() > 0
+    write_tensor(events, out, {**DEFAULT_HEADER, "dims": ["x", "y", "polarity"] if pixels else ["ch"]}, pixels)
+    return telemetry(events, host_ns=host_ns)

@@ -20,12 +20,24 @@ def tensor_lines(events: DataFrame, pixels: bool, unit: str = "us") -> DataFrame
     return rows.orderBy("ts", "idx", "seq").select(F.to_json(F.struct("ts", "idx", "val")).alias("value"))
 
 
-def write_tensor(events: DataFrame, path: str, header: dict, pixels: bool = False) -> None:
-    """One file for interchange: the header, then the rows in order, streamed through the driver without holding them."""
+def write_tensor(events: DataFrame, path: str, header: dict, pixels: bool = False) -> int:
+    """One file for interchange: the header, then the rows in order, streamed through the driver without holding them. Gives the row count."""
+    n = 0
     with open(path, "w", encoding="utf-8") as f:
         f.write(json.dumps({"header": header}) + "\n")
         for row in tensor_lines(events, pixels, header["units"]["time"]).toLocalIterator():
             f.write(row["value"] + "\n")
+            n += 1
+    return n
+
+
+def normalize_tensor(rows: DataFrame, path: str, header: dict) -> None:
+    """A tensor file passed through: its header, then its rows (ts, idx, val, seq) in their own order."""
+    lines = rows.orderBy("seq").select(F.to_json(F.struct("ts", "idx", "val")).alias("value"))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps({"header": header}) + "\n")
+        for row in lines.toLocalIterator():
+            f.write(row["value"] + "\n")
 
 
 def write_tensor_folder(events: DataFrame, path: str, pixels: bool = False, unit: str = "us") -> None:
@@ -43,6 +55,7 @@ def write_trace(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("node").json(path)
 
 
+#: The files of a bundle.
 REQUIRED = ("model.eir", "cap.json", "trace.json", "card.json")
 
 

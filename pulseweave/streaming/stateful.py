@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +43,37 @@ def stream_lif(events: DataFrame, key: str, tau_m="10 ms", v_th: float = 1.0, v_
     return src.groupBy(key).applyInPandasWithState(fold, f"{key} long, t_ns long, seq long", "v double, t long, fired long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_fuse(events: DataFrame, key: str, window="50 ms", min_count: int = 2) -> DataFrame:
-    """Coincidence by key of a stream with a column src (0 for a, 1 for b); the state is the events still in the window."""
+def stream_fuse(events: DataFrame, key: str, window="50 ms", min_count: int = 2, late=None) -> DataFrame:
+    """Coincidence by key of a stream with a column src (0 for a, 1 for b); the state is the events still in the window.
+
+    With `late` the stream gets a watermark: rows behind it are dropped, and a key's state goes once the watermark has
+    passed the window of its last event, as nothing can meet it any more. Without, state stays and no row is late.
+    """
     win = time_ns(window)
 
     def fold(k, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = [list(x) for x in state.get] if state.exists else [[], []]
+        for h in held:
+            heapify(h)
         rows = pd.concat(list(batches)).sort_values(["t_ns", "src", "seq"], kind="stable")
         out = []
         for t, s, q in zip(rows["t_ns"].tolist(), rows["src"].tolist(), rows["seq"].tolist(), strict=True):
-            held[s].append(t)
-            held = [[x for x in h if x >= t - win] for h in held]
+            heappush(held[s], t)
+            for h in held:
+                while h and h[0] < t - win:
+                    heappop(h)
             if held[0] and held[1] and len(held[0]) + len(held[1]) >= min_count:
                 out.append((k[0], t, q))
         state.update((held[0], held[1]))
+        if late is not None:
+            last = max(h for x in held for h in x)  # the row just put in is there
+            state.setTimeoutTimestamp(max((last + win) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[key, "t_ns", "seq"])
 
-    src = events.select(F.col(key).cast("long").alias(key), "t_ns", "seq", F.col("src").cast("int").alias("src"))
-    return src.groupBy(key).applyInPandasWithState(fold, f"{key} long, t_ns long, seq long", "a array<long>, b array<long>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    rows = events if late is None else watermarked(events, late)
+    src = rows.select(F.col(key).cast("long").alias(key), "t_ns", "seq", F.col("src").cast("int").alias("src"), *([] if late is None else ["event_time"]))
+    return src.groupBy(key).applyInPandasWithState(fold, f"{key} long, t_ns long, seq long", "a array<long>, b array<long>", "append", timeout)
