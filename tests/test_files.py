@@ -120,7 +120,7 @@ def test_command_line(spark, sample, tmp_path, capsys):
     open(out, "w").write(lines)
     assert cli.main(["compare-traces", good, out]) == 1
     assert cli.main(["sal-stream", "vision://x.aedat4", "--out", str(tmp_path / "t.jsonl"), "--telemetry-out", str(tmp_path / "t.json")]) == 0
-    assert json.loads((tmp_path / "t.json").read_text())["n"] == 1000
+    assert json.loads((tmp_path / "t.json").read_text())["count"] == 1000
     capsys.readouterr()
 
 
@@ -149,5 +149,5 @@ def test_log(spark, tmp_path):
 
 def test_empty_streams(spark):
     none = readers.live(spark)
-    assert aggregate.telemetry(none).first()["n"] == 0 and aggregate.profile(none).first()["n"] == 0
+    assert aggregate.telemetry(none).first()["count"] == 0 and aggregate.profile(none).first()["n"] == 0
     assert lif(none).count() == 0 and aggregate.bucket_runs(none, 10).count() == 0
