@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EventError, floor_div, time_ns
+from ..sources.shared import settled
 
 
 def _positive(dt) -> int:
@@ -90,31 +91,34 @@ def pick_ranks(counts: DataFrame, picks: dict[str, tuple[str, float]]) -> DataFr
 
 def telemetry(events: DataFrame, positive: bool = True, host_ns: int | None = None) -> DataFrame:
     """One row: count, time range, rate, gaps in whole microseconds with their order statistics, and the clock's: span,
-    drift against the host's span if that is given, and order statistics of the gaps' distance from their median.
+    drift against the host's span if that is given, and order statistics of the gaps' distance from their median. The gaps
+    are read when this is called.
 
     Halves of microseconds round to even. Gaps are those above 0, or all if `positive` is off. The distances come from
     the table of counted gaps, not from the rows again.
     """
     us = lambda c: F.rint(F.col(c) / F.lit(1000.0)).cast("long")
-    dt = counted(gaps(events, positive=positive).select(us("dt").alias("dt")), "dt")
     some = {"dt_p50_us": ("nearest", 0.5), "dt_p95_us": ("nearest", 0.95), "dt_p99_us": ("nearest", 0.99), "dt_median_us": ("middle", 0.5)}
-    picked = pick_ranks(dt, some)
-    apart = dt.crossJoin(F.broadcast(picked.select("dt_median_us"))).groupBy(F.abs(F.col("v") - F.col("dt_median_us")).alias("v")).agg(F.sum("c").alias("c"))  # one row
-    late = pick_ranks(apart, {"jitter_p50_us": ("middle", 0.5), "jitter_p95_us": ("floor", 0.95), "jitter_p99_us": ("floor", 0.99)})
+    late = {"jitter_p50_us": ("middle", 0.5), "jitter_p95_us": ("floor", 0.95), "jitter_p99_us": ("floor", 0.99)}
+    with settled(counted(gaps(events, positive=positive).select(us("dt").alias("dt")), "dt")) as dt:
+        found = {"dt_count": dt.agg(F.sum("c")).first()[0]} | pick_ranks(dt, some).first().asDict()
+        apart = dt.groupBy(F.abs(F.col("v") - F.lit(found["dt_median_us"] or 0)).alias("v")).agg(F.sum("c").alias("c"))
+        found |= pick_ranks(apart, late).first().asDict()
     whole = events.agg(F.count("*").alias("count"), F.min("t_ns").alias("lo"), F.max("t_ns").alias("hi"))
     span = F.coalesce(F.col("hi") - F.col("lo"), F.lit(0))
     whole = whole.select("count", us("lo").alias("ts_min_us"), us("hi").alias("ts_max_us"), span.alias("sensor_duration_ns"))
     whole = whole.withColumn("duration_us", us("sensor_duration_ns")).withColumn("events_per_second", F.when(F.col("duration_us") > 0, F.col("count") / (F.col("duration_us") / 1e6)).otherwise(0.0))
     drift = F.lit(None).cast("double") if host_ns is None else (F.col("sensor_duration_ns") - F.lit(max(1, host_ns))) / F.lit(float(max(1, host_ns))) * 1e6
-    out = whole.withColumn("drift_ppm_est", drift).crossJoin(dt.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("dt_count"))).crossJoin(picked).crossJoin(late)  # one row each
-    return out.fillna(0, [c for c in out.columns if c.startswith(("dt_", "jitter_"))])
+    return whole.withColumn("drift_ppm_est", drift).withColumns({k: F.lit(v or 0).cast("long") for k, v in found.items()})
 
 
 def profile(events: DataFrame) -> DataFrame:
-    """One row: count, time range, value range and mean, gap mean and order statistics."""
+    """One row: count, time range, value range and mean, gap mean and order statistics (null without a gap)."""
+    with settled(counted(gaps(events), "dt")) as dt:
+        found = dt.agg((F.sum(F.col("v") * F.col("c").cast("double")) / F.sum("c")).alias("dt_mean")).first().asDict()
+        ranks = pick_ranks(dt, {"dt_p50": ("middle", 0.5), "dt_p95": ("floor", 0.95)}).first().asDict()
     whole = events.agg(F.count("*").alias("n"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"), F.min("val").alias("val_min"), F.max("val").alias("val_max"), F.avg(F.coalesce("val", F.lit(0.0))).alias("val_mean"))
-    dt = gaps(events)
-    return whole.crossJoin(dt.agg(F.avg("dt").alias("dt_mean"))).crossJoin(pick_ranks(counted(dt, "dt"), {"dt_p50": ("middle", 0.5), "dt_p95": ("floor", 0.95)}))
+    return whole.withColumn("dt_mean", F.lit(found["dt_mean"]).cast("double")).withColumns({k: F.lit(v).cast("long") for k, v in ranks.items()})
 
 
 def top_channels(events: DataFrame, k: int = 10) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from .plans import documents
 from .plans.graph import trace
 from .schema import as_events
 from .sources import readers, writers
+from .sources.shared import shared_path
 
 HOUR = 3_600_000_000_000
 QUERIES, SQL = {}, {}
@@ -516,17 +514,9 @@ def energy_model(spark, d):
     return spark.createDataFrame(rows, "model string, frames double, stft double, mel double, vad double, kws double, total double")
 
 
-def _folder(spark) -> str:
-    """A new path in the folder that executors share; a temporary one in a local session without such a setting."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/events-{uuid.uuid4().hex}"
-
-
 @query(f"select round_even(t_ns / 1000.0, 0)::bigint * 1000 as t_ns, x, y, polarity, val from {EV}")
 def tensor_round_trip(spark, d):
-    path = _folder(spark)
+    path = shared_path(spark)
     writers.write_tensor_folder(events(spark, d), path, pixels=True)
     head = {**readers.DEFAULT_HEADER, "dims": ["x", "y", "polarity"]}
     back = readers.tensor_events(head, readers.read_tensor(spark, path)[1])
@@ -535,21 +525,21 @@ def tensor_round_trip(spark, d):
 
 @query(f"select t_ns // 1000000 * 1000000 as t_ns, ch, val from {EV}")
 def csv_round_trip(spark, d):
-    path = _folder(spark)
+    path = shared_path(spark)
     events(spark, d).select(F.expr("t_ns div 1000000").alias("when"), F.col("ch").alias("lane"), F.col("val").alias("level")).write.csv(path, header=True)
     return readers.read_csv(spark, path, "when", "lane", "level", "ms").select("t_ns", F.col("ch").cast("long").alias("ch"), "val")
 
 
 @query("select l_orderkey * 1000 as t_ns, ch, v as val from (select l_orderkey, unnest([0, 1, 2, 3, 4, 5]) as ch, unnest([l_quantity, l_extendedprice, l_discount, l_tax, 1.5, 2.5])::double as v from lineitem)")
 def imu_csv_round_trip(spark, d):
-    path = _folder(spark)
+    path = shared_path(spark)
     spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey * 1000 as t_ns", "l_quantity as ax", "l_extendedprice as ay", "l_discount as az", "l_tax as gx", "1.5D as gy", "2.5D as gz").write.csv(path, header=True)
     return readers.read_imu_csv(spark, path).select("t_ns", "ch", "val")
 
 
 @query("select event_type as type, event_id / 10 as t_s, (props::json->>'k')::bigint as k, count(*) over () as n from events where event_type in ('click', 'error')")
 def log_round_trip(spark, d):
-    path = _folder(spark)
+    path = shared_path(spark)
     kind = F.when(F.col("event_type") == "click", "event").when(F.col("event_type") == "error", "deliver").otherwise("meta")
     raw = spark.read.parquet(f"{d}/events.parquet").select(kind.alias("type"), (F.col("event_id") / 10).alias("t_s"), F.from_json("props", "map<string,string>").alias("payload"))
     raw.select(F.to_json(F.struct("type", "t_s", "payload"))).write.text(path)
@@ -561,7 +551,7 @@ def log_round_trip(spark, d):
 
 @query(f"select 'late' as node, t_ns + {HOUR} as t_ns, seq, ch, val from {EV} union all select 'in', t_ns, seq, ch, val from {EV}")
 def trace_round_trip(spark, d):
-    g, path = domains.change_point(window=HOUR), _folder(spark)
+    g, path = domains.change_point(window=HOUR), shared_path(spark)
     made = g.run(**{"in": events(spark, d)})
     writers.write_trace(trace({k: made[k] for k in ("in", "late")}), path)
     return readers.read_trace(spark, path).select("node", "t_ns", "seq", F.col("ch").cast("long").alias("ch"), "val")
