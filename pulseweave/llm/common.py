@@ -69,6 +69,14 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc(col) -> F.Column:
     return F.crc32(col.cast("string").cast("binary"))
 

@@ -219,7 +219,7 @@ HITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The documents with a column `hits`: the items found in each, with distance and place."""
     C.small_batches(docs.sparkSession, 300)
-    columns = [c for c in docs.columns if c != "hits"]
+    columns, more = [c for c in docs.columns if c != "hits"], C.free_name(docs, "new_hits")
     out = docs.select(*columns).withColumn("hits", F.array().cast(HITS))
     tables, any_before = C.Scratch(docs.sparkSession, "items"), False
     for rows in _blocks(benchmark, block):
@@ -231,5 +231,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         if any_before:  # each block in tasks of its own
             out = tables.save(out)
         any_before = True
-        out = C.map_rows(out, make, [T.StructField("new_hits_", HITS)]).withColumn("hits", F.concat("hits", "new_hits_")).drop("new_hits_")
+        out = C.map_rows(out, make, [T.StructField(more, HITS)]).withColumn("hits", F.concat("hits", more)).drop(more)
     return out

@@ -205,7 +205,8 @@ def redact(docs: DataFrame, model: MarkovRatio | None = None, mark: str = "[secr
 
         return run
 
-    out = C.map_rows(docs.withColumn("original_text_", F.col("text")), make, [T.StructField("text", T.StringType())], text="original_text_", drop=("original_text_",))
+    name = C.free_name(docs, "original_text")
+    out = C.map_rows(docs.withColumn(name, F.col("text")), make, [T.StructField("text", T.StringType())], text=name, drop=(name,))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -13,6 +13,7 @@ through, those named like an output are replaced. Two runs that append the same
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import regex
@@ -32,8 +33,20 @@ def file_digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def cuts_at_space(form: dict) -> bool:
+    """May texts be cut before white space without changing the ids: true of byte-level files with their own pattern, with no
+    normal form or one that keeps to characters, and whose special strings hold no white space."""
+    split, normal = form["pre_tokenizer"] or {}, form["normalizer"] or {}
+    steps = split.get("pretokenizers", [split])
+    own = [x.get("type") for x in steps] == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]
+    plain = all(x["type"] in ("NFC", "Lowercase") for x in normal.get("normalizers", [normal]) if x)
+    return own and plain and not any(c.isspace() for x in form["added_tokens"] for c in x["content"]) and not any(x["lstrip"] or x["rstrip"] for x in form["added_tokens"])
+
+
 class PieceCounts:
-    """piece -> tokens, from the tokenizers library; special strings inside texts are handled as is its default."""
+    """piece -> tokens, from the tokenizers library; special strings inside texts are handled as is its default.
+
+    Pieces are texts cut before white space, or whole texts where the file does not allow that."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,6 +55,7 @@ class PieceCounts:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split = PIECE.findall if cuts_at_space(json.loads(self.tokenizer.to_str())) else lambda text: [text]
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = []
@@ -50,7 +64,7 @@ class PieceCounts:
         return np.array(found), np.ones(len(found), np.int64)
 
     def counts(self, texts: list[str]) -> list[int]:
-        found, at = self.table.look_up(PIECE.findall, texts)
+        found, at = self.table.look_up(self.split, texts)
         return np.diff(np.concatenate([[0], np.cumsum(found)])[at]).tolist()
 
 
@@ -102,9 +116,10 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024) -> D
 
     new = C.map_rows(missing, make, [T.StructField("n_tokens", T.LongType())], drop=("text",), table=True)
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    key = C.free_name(docs, "content")
     columns = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "text")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], content.alias("content_"), F.octet_length(whole).cast("long").alias("n_bytes"))
-    known = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).withColumnRenamed("content", "content_")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], content.alias(key), F.octet_length(whole).cast("long").alias("n_bytes"))
+    known = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).withColumnRenamed("content", key)
     tables = C.Scratch(spark, "counts")
-    out = keyed.join(tables.save(known), "content_").drop("content_")
+    out = keyed.join(tables.save(known), key).drop(key)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -394,3 +394,12 @@ def test_shots():
     data = media.write_avi(jpeg.write_frames(np.array([dark] * 4 + [light] * 5 + [dark] * 2)), 128, 96)
     found = media.clips(data)
     assert [(c["first"], c["frames"], c["start_ms"], c["end_ms"], c["level"]) for c in found] == [(0, 4, 0, 160, 20), (4, 5, 160, 360, 200), (9, 2, 360, 440, 20)]
+
+
+def test_clashing_names(spark):
+    """Extra columns named like those that operators use on the way go through unchanged."""
+    docs = spark.createDataFrame([(1, "token=abcdefgh one", "a", "b", "c")], "doc_id long, text string, content string, Original_Text string, new_hits string")
+    bench = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    folder = f"{shared_dir(spark)}/clash-{uuid.uuid4().hex}"
+    for out in (secrets.redact(docs), decontaminate.find_items(docs, bench), token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), folder)):
+        assert tuple(out.select("content", "Original_Text", "new_hits").first()) == ("a", "b", "c")

@@ -95,6 +95,100 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == len(after)
 
 
+def test_pipeline_edges(spark, docs, empty):
+    """Every stage on nulls, empties, repeated rows, long texts and extra columns, and on an empty table."""
+    from collections import Counter
+
+    from test_exact import brute_components, tiktoken_encoding
+
+    from pulseweave.llm import decontaminate
+
+    sf = "/root/testdata/sf0.001"
+    items = [decontaminate.normal_words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [tuple(r) for r in docs.where("doc_id is null or doc_id >= 100000").collect()]
+    table = spark.createDataFrame(rows, docs.schema)
+    stages, ids = dict(corpus_pipeline.STAGES), lambda rows: Counter(r[0] for r in rows)
+    run = lambda name: [tuple(r) for r in stages[name](spark, table, sf).collect()]
+    assert ids(run("language_id")) == ids(r for r in rows if any(map(str.isalpha, r[1] or "")))
+    kept = {d for d, _, _, k in brute_components([r[:2] for r in rows], 5, 80) if k}
+    assert ids(run("near_dedup")) == Counter(d for d in kept if d is not None) + Counter({None: sum(r[0] is None for r in rows)})
+    held = lambda t: any(decontaminate.edit_place(x, decontaminate.normal_words(t))[0] <= int(0.2 * len(x) + 1e-9) for x in items)
+    assert ids(run("decontaminate")) == ids(r for r in rows if len(r[1] or "") > 20000 or not held(r[1]))
+    masked = run("secret_scan")
+    assert ids(masked) == ids(rows) and sum(r[1] is None for r in masked) == sum(r[1] is None for r in rows)
+    assert all(r[4] == (-1 if r[1] is None else len(r[1])) and r[5] == "clash" for r in masked) and "[secret]" in {r[0]: r[1] for r in masked}[100051]
+    own = tiktoken_encoding()
+    assert Counter((r[0], r[1]) for r in run("bpe_encode")) == Counter((r[0], len(own.encode_ordinary(r[1] or ""))) for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+
+
+def test_quality_by_hand(spark):
+    """Scores against plain zstandard sizes and a logistic fit by another route (Newton's method on the gradient of a grid of steps)."""
+    import numpy as np
+    import zstandard
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id").where("quality is not null and length(text) > 0").orderBy("doc_id").limit(120).collect()
+    texts, y = [r["text"] for r in rows], [r["quality"] for r in rows]
+    dictionaries = [quality.build_dictionary([t.encode() for t, q in zip(texts, y) if q == k][::2]) for k in (1, 0)]
+    model = quality.CompressionScore(*dictionaries)
+    model.calibrate(texts, y, float(np.mean(y)))
+
+    def evidence(t):
+        data = t.encode()
+        sizes = []
+        for d in dictionaries:
+            tool = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(data[i : i + quality.STRETCH])) for i in range(0, len(data), quality.STRETCH)))
+        return (sizes[1] - sizes[0]) / sum(sizes), max(0.0, 0.5 - min(sizes) / len(data))
+
+    x = np.array([evidence(t) for t in texts])
+    assert np.allclose(x, [model.evidence(t) for t in texts])
+    z = np.concatenate([np.ones((len(x), 1)), (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)], 1)
+    b, shrink = np.zeros(3), np.array([1e-6, 0.5, 0.5])
+    for _ in range(60_000):  # plain gradient steps
+        b += 0.01 * (z.T @ (y - 1 / (1 + np.exp(-z @ b))) - shrink * b)
+    assert np.allclose(1 / (1 + np.exp(-z @ b)), [model.score(t) for t in texts], atol=1e-3)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [model.score(t) for t in texts])
+
+
+def test_language_by_enumeration(spark):
+    """Every bit's loss for every codeword, summed one by one, and features counted gram by gram."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    for r in docs.where("length(text) between 1 and 400").orderBy("doc_id").limit(60).collect():
+        raw = (" " + " ".join(r["text"].lower().encode().translate(language._LETTERS).decode().split()) + " ").encode()
+        count = [0] * language.FEATURES
+        for size, mark, odd in ((1, 0, 2654435761), (2, 1 << 24, 2654435761), (3, 1 << 25, 2246822519)):
+            for i in range(len(raw) - size + 1):
+                count[((int.from_bytes(raw[i : i + size], "big") + mark) * odd % 2**32) >> 21] += 1
+        x = [math.sqrt(c / sum(count)) for c in count]
+        margins = [sum(a * b for a, b in zip(x, w) if a) + bias for w, bias in zip(model.w.T.tolist(), model.bias.tolist())]
+        losses = {lang: sum(w * math.log1p(math.exp(-int(c) * m)) for w, c, m in zip(model.weight.tolist(), code, margins)) / model.weight.sum() for lang, code in zip(model.langs, model.codes)}
+        lang, score, _ = model.predict(r["text"])
+        if any(map(str.isalpha, r["text"])):
+            best = min(losses.values())
+            assert losses[lang] <= best + 1e-5
+            assert score == pytest.approx(1 / sum(math.exp(-(v - best) * len(model.weight)) for v in losses.values()), abs=1e-3)
+        assert np.isfinite(score)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_queries(spark, name):
+    """Each registered query runs over the whole table: a row a document (op3: a row a hit), with the contract's columns first."""
+    first = {"op1": "doc_id n_words n_removed kept_sha256", "op2": "doc_id n_assign n_access n_hex base_sha256 spans", "op3": "doc_id item_id", "op4": "doc_id held_out score predicted", "op5": "doc_id held_out lang_pred score", "op6": "doc_id n_tokens ids_sha256 decoded_sha256", "op7": "doc_id start n_tokens ids_crc32", "op8": "doc_id n_bytes n_tokens over_limit", "op9": "doc_id n_shingles component_id kept", "op10": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature"}[name.split("_")[0]].split()
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.columns[: len(first)] == first
+    ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+    every = [r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
+    assert set(ids) <= set(every) and ids if name.startswith("op3") else sorted(ids) == sorted(every)
+
+
 def test_query_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
@@ -111,7 +205,7 @@ def test_least_hashes(spark):
     assert [r["g"] for r in common.least_hashes(rows, 50, ["g"], 1).select("g").distinct().collect()] == ["a"]
 
 
-def test_long_training_texts(spark):
+def test_very_long_training_text(spark):
     """One text of 3.6 million characters in a language does not take the place of the others."""
     words = {"en": "the and with from house garden water", "fr": "le et avec de maison jardin eau"}
     rows = [(lang, " ".join(random.Random(i).choices(w.split(), k=20))) for lang, w in words.items() for i in range(30)]
