@@ -51,7 +51,7 @@ class MergeReplay:
         self.token_length, self.token_start = lengths, np.cumsum(lengths) - lengths
         self.token_bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(lengths))), np.uint8)
         self.pairs: dict[tuple[int, int], int | None] = {}
-        self.table = C.WordTable(self.learn, "<u4")
+        self.table = C.WordTable(self.learn, "<u4", C.TABLE_BYTES // 2)  # new words cost little here
 
     def merged(self, pair: tuple[int, int]) -> int | None:
         if pair not in self.pairs:

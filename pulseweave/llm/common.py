@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ODD = 0x9E3779B97F4A7C15
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,17 +50,17 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # the shuffles that made a table go as soon as it is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Lets the driver forget shuffles whose results are saved, upon which executors delete their files."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for t in tables:
@@ -154,8 +155,8 @@ class WordTable:
 
     every: list[WordTable] = []
 
-    def __init__(self, learn, dtype):
-        self.learn, self.dtype = learn, dtype
+    def __init__(self, learn, dtype, most: int = TABLE_BYTES):
+        self.learn, self.dtype, self.most = learn, dtype, most
         self.clear()
         WordTable.every.append(self)
 
@@ -184,7 +185,7 @@ class WordTable:
                 gc.enable()
 
     def _look_up(self, cut: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        if self.bytes > TABLE_BYTES:
+        if self.bytes > self.most:
             self.forget_half()
         known, n = len(self.words), np.array([len(c) for c in cut], np.int64)
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))

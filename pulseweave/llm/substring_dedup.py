@@ -217,13 +217,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     marked = tables.save(runs.join(seen, "run").groupBy("doc_id", "rid").agg(F.collect_set("run").alias("runs")))
     suspects = tables.save(docs.join(marked, ["doc_id", "rid"]))
     tables.drop(seen, marked)
-    tables.release()
     windows = suspects.mapInArrow(partial(_windows, window=window, gram=gram), "doc_id long, rid long, pos long, wh long")  # worked out twice: cheaper than kept
     first = tables.save(windows.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("z")).where("first < z").select("wh", "first"))
     hits = windows.join(first, "wh").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first")).alias("hits"))
     hits = tables.save(hits)
     tables.drop(first)
-    tables.release()
     regions = tables.save(suspects.drop("runs").join(hits, ["doc_id", "rid"]).mapInArrow(partial(_regions, window=window), "first long, doc_id long, rid long, start long, words binary"))
     tables.drop(hits)
     later = regions.where("doc_id > first")
