@@ -111,36 +111,46 @@ def check_package(folder: str, manifest: dict) -> list[str]:
     return out
 
 
+def _asked(doc: dict, device: dict) -> dict:
+    """What a document asks for beside what the device has, as the rules below read it."""
+    time, clock = doc.get("time", {}), device.get("clock") or {}
+    mode, tick, step = time.get("mode", "exact_event"), device["time_resolution_ns"] / 1000, time.get("fixed_step_dt_us")
+    valid = isinstance(step, int) and step >= 1
+    nearest = max(1, round(step / tick)) * tick if valid else 0.0
+    policy, own = (doc.get("security") or {}).get("overflow_policy"), device.get("overflow_behavior")
+    lacking = [{"id": n["id"], "op": n["op"]} for n in doc.get("nodes", []) if n.get("kind") in NEEDS_OP and n.get("op") and n["op"] not in device["supported_ops"]]
+    return {
+        "profile": doc.get("profile"), "profiles": device["conformance_profiles"], "mode": mode, "stepped": mode == "fixed_step", "step_valid": valid, "step": nearest,
+        "error": abs(nearest - step) if mode == "fixed_step" and valid else tick / 2, "eps": time.get("epsilon_time_us", 100), "numeric": time.get("epsilon_numeric", 1e-5),
+        "native_mode": mode in device["deterministic_modes"] and (mode == "fixed_step" or not clock.get("deterministic_fixed_step_only")),
+        "policy": policy, "own": own, "replaced": bool(policy and own and policy != own), "lacking": lacking,
+    }
+
+
+#: Refusals: error name (fixed values), what must not hold, and the text; the first that applies is raised.
+REFUSALS = [
+    ("backend.unsupported_profile", lambda q: q["profile"] and q["profile"] not in q["profiles"], "{profile}"),
+    ("backend.time_config_invalid", lambda q: q["stepped"] and not q["step_valid"], "fixed_step needs a positive fixed_step_dt_us"),
+    ("backend.time_quantization_violation", lambda q: q["error"] > q["eps"], "{error} us is over epsilon {eps} us"),
+]
+#: Notes: what must hold, and the text; all that apply are given.
+NOTES = [
+    (lambda q: not q["native_mode"], "mode {mode} is emulated"),
+    (lambda q: q["replaced"], "overflow policy {policy} is substituted by {own}"),
+]
+
+
 def plan(doc: dict, device: dict = SPARK_DEVICE) -> dict:
     """Negotiates a document with a device: refuses what cannot be met, notes what is emulated or substituted."""
-    time, notes = doc.get("time", {}), []
-    if doc.get("profile") and doc["profile"] not in device["conformance_profiles"]:
-        raise EventError("backend.unsupported_profile", str(doc["profile"]))
-    mode, eps = time.get("mode", "exact_event"), time.get("epsilon_time_us", 100)
-    tick = device["time_resolution_ns"] / 1000
-    fixed_only = (device.get("clock") or {}).get("deterministic_fixed_step_only", False)
-    native = mode in device["deterministic_modes"] and not (mode == "exact_event" and fixed_only)
-    if not native:
-        notes.append(f"mode {mode} is emulated")
-    step = None
-    if mode == "fixed_step":
-        asked = time.get("fixed_step_dt_us")
-        if not isinstance(asked, int) or asked < 1:
-            raise EventError("backend.time_config_invalid", "fixed_step needs a positive fixed_step_dt_us")
-        chosen = max(1, round(asked / tick)) * tick
-        error, step = abs(chosen - asked), round(chosen)
-    else:
-        error = tick / 2
-    if error > eps:
-        raise EventError("backend.time_quantization_violation", f"{error} us is over epsilon {eps} us")
-    wanted, has = (doc.get("security") or {}).get("overflow_policy"), device.get("overflow_behavior")
-    if wanted and has and wanted != has:
-        notes.append(f"overflow policy {wanted} is substituted by {has}")
-    emulated = [{"id": n["id"], "op": n["op"]} for n in doc.get("nodes", []) if n.get("kind") in NEEDS_OP and n.get("op") and n["op"] not in device["supported_ops"]]
+    q = _asked(doc, device)
+    for kind, applies, text in REFUSALS:
+        if applies(q):
+            raise EventError(kind, text.format(**q))
     return {
-        "backend": device["name"], "mode": mode, "dt_us": step, "quantization_error_us": error, "epsilons": {"time_us": eps, "numeric": time.get("epsilon_numeric", 1e-5)},
+        "backend": device["name"], "mode": q["mode"], "dt_us": round(q["step"]) if q["stepped"] else None, "quantization_error_us": q["error"], "epsilons": {"time_us": q["eps"], "numeric": q["numeric"]},
         "graph": doc.get("graph", {}).get("name", "graph"), "nodes": [n.get("id") for n in doc.get("nodes", [])], "probes": doc.get("probes", []),
-        "emulated": emulated, "unsupported_ops": sorted({e["op"] for e in emulated}), "native": native and not emulated, "overflow": has if wanted and has else wanted, "warnings": notes,
+        "emulated": q["lacking"], "unsupported_ops": sorted({x["op"] for x in q["lacking"]}), "native": q["native_mode"] and not q["lacking"],
+        "overflow": q["own"] if q["replaced"] else q["policy"], "warnings": [text.format(**q) for applies, text in NOTES if applies(q)],
     }
 
 
