@@ -100,7 +100,8 @@ def least_hashes(rows: DataFrame, n: int, by: list[str], groups: int | None = No
     sizes = rows.groupBy(*by).agg(count.alias("m_"))
     if groups:
         sizes = sizes.orderBy(F.desc("m_"), *by).limit(groups)
-    most = F.lit(-(1 << 63)) + 2 * (F.lit(float(wanted)) / F.col("m_") * float(1 << 63)).cast("long")
+    # the share of all hashes, from the least on; what is doubled lies within 2^62 of 0, since longs may not overflow
+    most = ((F.lit(float(wanted)) / F.col("m_") * float(1 << 63)).cast("long") - F.lit(1 << 62)) * 2
     sizes = sizes.select(*by, F.when(F.col("m_") > wanted, most).otherwise(F.lit((1 << 63) - 1)).alias("most_"))
     return rows.join(F.broadcast(sizes), by).where("h <= most_").drop("most_")  # a row a group
 

@@ -56,6 +56,25 @@ def test_long_training_texts(spark, monkeypatch):
     assert quality.train(docs, marks).line is not None
 
 
+@pytest.mark.parametrize("distinct", [60, 130, 150, 190, 240, 270, 320, 2000])
+def test_least_hashes_of_group_sizes(spark, distinct):
+    """Groups on both sides of once and twice the wanted number (140): the share of hashes let through fits in a long."""
+    rows = spark.range(distinct).selectExpr("'en' as lang", "xxhash64(id) as h").coalesce(2)
+    rows = rows.union(rows)  # copies do not count
+    hashes = sorted({r["h"] for r in rows.collect()})
+    found = sorted({r["h"] for r in common.least_hashes(rows, 10, ["lang"]).collect()})
+    assert found == hashes[: len(found)] and min(distinct, 100) <= len(found) <= 200
+
+
+def test_language_of_middling_size(spark):
+    """A language with one to two times the texts let through is learned, beside a small and a large one."""
+    sizes = {"de": 20, "en": 200, "fr": 2000}
+    words = {"de": "das haus ist", "en": "the house is", "fr": "la maison est"}
+    docs = spark.createDataFrame([(i, f"{words[lang]} {i}", lang) for lang, n in sizes.items() for i in range(n)], "doc_id long, text string, lang string")
+    model = language.train(docs, 10)
+    assert model.langs == sorted(sizes) and all(model.predict(f"{words[lang]} {words[lang]}")[0] == lang for lang in sizes)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 30])
 def test_codewords(n):
     words = language.codewords(n)
