@@ -5,7 +5,8 @@ control byte, two bits a code for its length less one; the codes' bytes follow i
 control bytes up in a table of lengths, and gathers all codes of a block at once.
 
 A file set is a folder: `ranks` (one row: ids by rank) and `blocks` (Parquet rows of whole documents, ascending by doc_id
-and cut at about BLOCK ids: first document's number, counts, control bytes, code bytes), written by range partitions.
+and cut at about BLOCK ids: first document's number, doc_ids, counts, ids before the block in its part file, ids in it, control
+bytes, code bytes), written by range partitions.
 
 Defined cases: null or empty text is its end id alone; null doc_id comes first; rows of equal doc_id keep rows of their
 own, in the order of their text's hash; a document longer than a block makes a block of its own; an empty table writes no
@@ -183,6 +184,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
     ids = tables.save(C.map_rows(src, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], drop=("text",), table=True))
 
     def tally(batches):
+        C.alone()  # the words are not needed any more
         total = np.zeros(0, np.int64)
         for b in batches:
             n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), wide))
@@ -202,14 +204,16 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
     held = spark.sparkContext.broadcast(rank)
 
     def blocks(batches):
-        names = ("first_doc", "doc_ids", "counts", "control", "codes")
-        waiting, size = [], 0
+        C.alone()
+        waiting, size, before = [], 0, 0
 
         def block():
             codes = held.value[np.concatenate([np.frombuffer(x, wide) for _, x in waiting])]
             control, data = pack(codes)
             docs_, lengths = [d for d, _ in waiting], [len(x) // np.dtype(wide).itemsize for _, x in waiting]
-            return pa.RecordBatch.from_arrays([pa.array([docs_[0]], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=list(names))
+            long, longs = pa.int64(), pa.list_(pa.int64())
+            values = {"first_doc": (docs_[0], long), "doc_ids": (docs_, longs), "counts": (lengths, longs), "before": (before, long), "total": (size, long), "control": (control, pa.binary()), "codes": (data, pa.binary())}
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values.values()], names=list(values))
 
         for b in batches:
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
@@ -217,42 +221,39 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
                 size += len(x) // np.dtype(wide).itemsize
                 if size >= BLOCK:
                     yield block()
-                    waiting, size = [], 0
+                    waiting, size, before = [], 0, before + size
         if waiting:
             yield block()
 
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = ids.select("doc_id", "ids", "tie").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    ranged.mapInArrow(blocks, "first_doc long, doc_ids array<long>, counts array<long>, control binary, codes binary").write.parquet(f"{folder}/blocks")
+    ranged.mapInArrow(blocks, "first_doc long, doc_ids array<long>, counts array<long>, before long, total long, control binary, codes binary").write.parquet(f"{folder}/blocks")
     tables.drop(ids)
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
     """Reads a file set back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids, a row a document.
 
-    Blocks hold consecutive documents, so a block's start is the sum of the blocks before it: the window runs over one
-    short row a block, in two levels so that no task gets all blocks.
+    A block says how many ids come before it in its part file, and part files are numbered in range order, so what is
+    gathered is a row a file: no block is moved.
     """
     order = spark.read.parquet(f"{folder}/ranks").first()["ids"]
     held = spark.sparkContext.broadcast(np.array(order, np.uint32))
-    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    from pyspark.sql import Window
-
-    files = blocks.groupBy("file").agg(F.sum("total").alias("n")).orderBy("file").collect()  # a row a file; part files are numbered in range order
-    offsets, at = {}, 0
+    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
+    files = blocks.groupBy("file").agg(F.sum("total").alias("n")).orderBy("file").collect()
+    bases, at = {}, 0
     for r in files:
-        offsets[r["file"]] = at
+        bases[r["file"]] = at
         at += r["n"]
-    table = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "file long, base long")
-    at = Window.partitionBy("file").orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("first_row", F.col("_metadata.row_index"))
-    sums = placed.select("file", "first_row", "total").withColumn("before", F.coalesce(F.sum("total").over(at), F.lit(0))).join(F.broadcast(table), "file").select("file", "first_row", (F.col("before") + F.col("base")).alias("base"))
-    placed = placed.join(sums, ["file", "first_row"]).select("doc_ids", "counts", "control", "codes", "base")
+    starts = spark.sparkContext.broadcast(bases)
+    placed = blocks.select("file", "before", "doc_ids", "counts", "control", "codes")
 
     def read(batches):
-        ranks = held.value
+        C.alone()
+        ranks, bases = held.value, starts.value
         for b in batches:
-            for docs_, counts, control, data, base in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "counts", "control", "codes", "base")), strict=True):
+            for file, before, docs_, counts, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                base = bases[file] + before
                 ids = ranks[unpack(control, data, sum(counts))].astype("<u4")
                 ends = np.cumsum(counts)
                 parts = [ids[z - n : z].tobytes() for n, z in zip(counts, ends.tolist(), strict=True)]

@@ -322,6 +322,27 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.read_tokens(spark, folder + "-empty").count() == 0
 
 
+def test_token_file_starts(spark, monkeypatch):
+    """Starts come from the blocks and a row a part file: also with many blocks a task, cut into several files, and
+    without moving any block."""
+    monkeypatch.setattr(token_files, "BLOCK", 20)
+    texts = spark.range(300).selectExpr("id as doc_id", "repeat('some words ', cast(id % 9 as int)) as text").repartition(5)
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        token_files.write_tokens(texts, P.path("word_bpe_49k.json"), folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    assert blocks.count() > 40 and len({f.rsplit("/", 1)[1].split("-")[1] for f in blocks.inputFiles()}) < len(blocks.inputFiles())
+    back = token_files.read_tokens(spark, folder)
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    at = 0
+    for i, r in enumerate(sorted(back.collect(), key=lambda r: r["doc_id"])):
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, at, 2 * (i % 9) + 1)
+        at += r["n_tokens"]
+
+
 @given(st.lists(st.text(st.sampled_from("aBéΣİ²ß1.!'<|> s\u0301"), max_size=30), max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_word_ids(texts):
