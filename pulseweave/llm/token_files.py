@@ -101,6 +101,10 @@ class WordIds:
                 stems.append(plain.setdefault(w.lower(), len(plain)))
                 tails.append(-1)
                 continue
+            if self.letters and w.isascii() and (stem := w.rstrip(TAIL.encode())).isalpha():
+                stems.append(plain.setdefault(stem.lower(), len(plain)))
+                tails.append(others.setdefault(w[len(stem) :].decode(), len(others)))
+                continue
             s = w.decode()
             stem = s.rstrip(TAIL)
             if self.letters and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
@@ -162,41 +166,36 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
-    """Encodes and writes the file set. Texts are encoded once; ids are sorted in the width that the vocabulary needs."""
+    """Encodes and writes the file set. Texts are encoded once, and their ids counted on the way; ids are sorted in the width
+    that the vocabulary needs."""
     spark = docs.sparkSession
     C.small_batches(spark)
     tables = C.Scratch(spark, "ids")
     wide = encoder(path).wide if end < 1 << 16 else "<u4"
 
-    def make():
-        tool = encoder(path)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
+    kinds = {"doc_id": pa.int64(), "tie": pa.int64(), "ids": pa.binary(), "used": pa.list_(pa.int64()), "uses": pa.list_(pa.int64())}
 
-        def run(texts):
-            ids, at = tool.flat_ids(texts)
+    def encode(batches):
+        """A row a document, and behind them one without ids: which ids the task gave, and how often."""
+        tool, total = encoder(path), np.zeros(0, np.int64)
+        for b in batches:
+            ids, at = tool.flat_ids(b.column("text").to_pylist())
             ids = np.insert(ids.astype(wide), at[1:], end)
             at = at + np.arange(len(at))
+            total = np.pad(total, (0, max(0, int(ids.max(initial=0)) + 1 - len(total))))
+            total += np.bincount(ids, minlength=len(total))
             data, width = ids.tobytes(), ids.itemsize
-            return [[data[a * width : z * width] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.diff(at).tolist()]
-
-        return run
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ids = tables.save(C.map_rows(src, make, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], drop=("text",), table=True))
-
-    def tally(batches):
-        C.alone()  # the words are not needed any more
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), wide))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
+            found = [data[a * width : z * width] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            nothing = [None] * len(found)
+            columns = [b.column("doc_id"), b.column("tie"), found, nothing, nothing]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
         on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, on, total[on]), kinds.values(), strict=True)], names=list(kinds))
 
-    counts = ids.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ids = tables.save(src.mapInArrow(encode, "doc_id long, tie long, ids binary, used array<long>, uses array<long>"))
+    some = ids.where("used is not null").select(F.explode(F.arrays_zip("used", "uses")).alias("of"))
+    counts = some.groupBy(F.col("of.used").alias("id")).agg(F.sum("of.uses").alias("n"))
     order = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
     spark.createDataFrame([(order,)], "ids array<long>").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
@@ -204,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
     held = spark.sparkContext.broadcast(rank)
 
     def blocks(batches):
-        C.alone()
+        C.alone()  # the words are not needed any more
         waiting, size, before = [], 0, 0
 
         def block():
@@ -226,7 +225,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
             yield block()
 
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = ids.select("doc_id", "ids", "tie").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    ranged = ids.where("ids is not null").select("doc_id", "ids", "tie").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ranged.mapInArrow(blocks, "first_doc long, doc_ids array<long>, counts array<long>, before long, total long, control binary, codes binary").write.parquet(f"{folder}/blocks")
     tables.drop(ids)
 
