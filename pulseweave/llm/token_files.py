@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 END, BLOCK = 2, 1 << 18
+#: Pages and row groups of the ids between the steps: what a writer holds back, in arrays that the JVM need not place alone.
+SMALL = {"parquet.page.size": str(256 << 10), "parquet.block.size": str(8 << 20)}
 #: Code lengths of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -193,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Non
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, on, total[on]), kinds.values(), strict=True)], names=list(kinds))
 
-    ids = tables.save(src.mapInArrow(encode, "doc_id long, tie long, ids binary, used array<long>, uses array<long>"))
+    ids = tables.save(src.mapInArrow(encode, "doc_id long, tie long, ids binary, used array<long>, uses array<long>"), **SMALL)
     some = ids.where("used is not null").select(F.explode(F.arrays_zip("used", "uses")).alias("of"))
     counts = some.groupBy(F.col("of.used").alias("id")).agg(F.sum("of.uses").alias("n"))
     order = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
